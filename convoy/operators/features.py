@@ -64,6 +64,26 @@ def _zero_if_null(value: Column, name: str) -> Column:
     return F.coalesce(value, F.lit(0)).alias(name)
 
 
+def feature_slices(telemetry: DataFrame, width_minutes: int = 5, labelled: bool = False) -> DataFrame:
+    """Averages, sample deviations and row count per entity and slice, sparse slices included.
+
+    Points are reduced by partial aggregation before any shuffle.
+    """
+    labels = [F.max("failure_type").alias("failure_type"), F.avg("time_to_failure").alias("time_to_failure")]
+    return (
+        telemetry.groupBy("entity_id", F.window("ts", f"{width_minutes} minutes").alias("slice"))
+        .agg(
+            F.max("ts").alias("feature_timestamp"),
+            *[F.avg(m).alias(f"avg_{m}") for m in MEASURES],
+            *[F.stddev_samp(m).alias(f"stddev_{m}") for m in MEASURES],
+            F.count(F.lit(1)).alias("record_count"),
+            *(labels if labelled else []),
+        )
+        .withColumn("slice_start", F.col("slice.start"))
+        .drop("slice")
+    )
+
+
 def temporal_features(
     telemetry: DataFrame,
     width_minutes: int = 5,
@@ -75,36 +95,35 @@ def temporal_features(
 ) -> DataFrame:
     """The 16 features per entity and slice, for slices of at least ``min_records`` rows.
 
+    ``labelled`` adds ``failure_type`` (lexicographic maximum in the slice) and
+    ``time_to_failure`` (mean).
+    """
+    slices = feature_slices(telemetry, width_minutes, labelled)
+    return features_of_slices(slices, width_minutes, min_records, elevated_threshold, slope_minutes, block_slices)
+
+
+def features_of_slices(
+    slices: DataFrame,
+    width_minutes: int = 5,
+    min_records: int = 12,
+    elevated_threshold: float = 0.7,
+    slope_minutes: float | None = None,
+    block_slices: int = 288,
+) -> DataFrame:
+    """Features from slices.
+
     Sparse slices are dropped only after they have served as history for later ones. The
     previous slice is the previous one that exists, and slopes always divide by
-    ``slope_minutes`` (the slice width), gaps or not. Raw points are reduced to slices by
-    partial aggregation before any shuffle; the ordered part works on blocks of
+    ``slope_minutes`` (the slice width), gaps or not. The ordered part works on blocks of
     ``block_slices`` slices, so a busy entity is spread over many tasks.
-
-    ``labelled`` adds ``failure_type`` (lexicographic maximum in the slice) and
-    ``time_to_failure`` (mean).
     """
     minutes = float(width_minutes if slope_minutes is None else slope_minutes)
-    labels = ["failure_type", "time_to_failure"] if labelled else []
-    slices = (
-        telemetry.groupBy("entity_id", F.window("ts", f"{width_minutes} minutes").alias("slice"))
-        .agg(
-            F.max("ts").alias("feature_timestamp"),
-            *[F.avg(m).alias(f"avg_{m}") for m in MEASURES],
-            *[F.stddev_samp(m).alias(f"stddev_{m}") for m in MEASURES],
-            F.count(F.lit(1)).alias("record_count"),
-            *([F.max("failure_type").alias("failure_type"), F.avg("time_to_failure").alias("time_to_failure")] if labelled else []),
-        )
-        .withColumn(
-            "_block",
-            F.floor(epoch_seconds(F.col("slice.start")) / F.lit(width_minutes * 60 * block_slices)),
-        )
-        .withColumn(
-            "_elevated",
-            F.when(F.col("stddev_battery_voltage") > elevated_threshold, 1).otherwise(0).cast("long"),
-        )
-        .drop("slice")
-    )
+    labels = [c for c in ("failure_type", "time_to_failure") if c in slices.columns]
+    block_seconds = width_minutes * 60 * block_slices
+    slices = slices.withColumn("_block", F.floor(epoch_seconds(F.col("slice_start")) / F.lit(block_seconds))).withColumn(
+        "_elevated",
+        F.when(F.col("stddev_battery_voltage") > elevated_threshold, 1).otherwise(0).cast("long"),
+    ).drop("slice_start")
     scanned = scan_blocks(
         slices,
         ["entity_id"],

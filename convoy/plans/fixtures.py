@@ -6,21 +6,11 @@ items become a road graph whose nodes are nations; suppliers become service cent
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.operators.blocks import scan_blocks
-from convoy.settings import Clock
-
-FLEET_SIZE = 10
-START = datetime(2024, 1, 1)
-
-# Clock positions the queries use: inside the seeds, at the end of the events, on the map.
-SERIES_EPOCH = 100
-STATUS_CLOCK = Clock(START, 500_000)
-MAP_EPOCH = 1_000_000
+from convoy.plans.parameters import FLEET_SIZE, SERIES_EPOCH
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
