@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoy.operators.routes import hop_points, line_points, path_hops
-from convoy.settings import SPEED_MPH, shared_dir
+from convoy.settings import SPEED_MPH, staged
 
 PATH_SEPARATOR = ">"
 
@@ -19,18 +19,16 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1
     at 0. Among equally long routes the path that sorts first wins.
 
     All sources advance together. Each round joins only the labels improved in the last one
-    with the edges, and every round's state is written to the checkpoint folder, so a lost
-    executor costs one round and the plan does not grow.
+    with the edges, and every round's state is staged in the shared folder, so a lost
+    executor costs no finished round and the plan does not grow.
     """
-    spark = adjacency.sparkSession
-    shared_dir(spark)
-    roads = (
+    roads = staged(
         adjacency.filter((F.col("miles") >= 0) & (F.col("from_node") != F.col("to_node")))
         .groupBy("from_node", "to_node")
-        .agg(F.min("miles").alias("miles"))
-        .checkpoint()
+        .agg(F.min("miles").alias("miles")),
+        "roads",
     )
-    labels = (
+    labels = staged(
         sources.select(F.col("node_id").alias("source"))
         .distinct()
         .select(
@@ -38,8 +36,8 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1
             F.col("source").alias("target"),
             F.struct(F.lit(0.0).alias("distance"), F.array("source").alias("path")).alias("label"),
             F.lit(0).alias("round"),
-        )
-        .checkpoint()
+        ),
+        "labels",
     )
     for current in range(1, max_rounds + 1):
         frontier = labels.filter(F.col("round") == current - 1)
@@ -65,12 +63,12 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1
         )
         # The smallest (label, round) keeps the old round on unchanged labels, so only
         # improved ones form the next frontier.
-        labels = (
+        labels = staged(
             labels.unionByName(reached)
             .groupBy("source", "target")
             .agg(F.min(F.struct("label", "round")).alias("best"))
-            .select("source", "target", "best.label", "best.round")
-            .checkpoint()
+            .select("source", "target", "best.label", "best.round"),
+            "labels",
         )
     raise RuntimeError(f"shortest paths still improving after {max_rounds} rounds")
 

@@ -14,7 +14,7 @@ from convoy.operators import fleet, graph, routes, scoring, series, state, stops
 from convoy.plans import fixtures as fx
 from convoy.plans import parameters as p
 from convoy.schemas import MARKERS, PREDICTIONS
-from convoy.settings import scratch_path
+from convoy.settings import scratch_path, staged
 from convoy.sources.csv import read_csv
 from convoy.sources.records import json_records as to_records
 from convoy.sources.store import StateTable
@@ -60,22 +60,29 @@ def _predictions(rows: DataFrame) -> DataFrame:
     return scoring.score_rules(ft.latest_features(_features(rows)))
 
 
-def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Prediction state at the cut, and brought up to date."""
-    early, rows = _readings(spark, sf)
-    first = state.prediction_upsert(state.reset_state(spark, PREDICTIONS), _predictions(early), _newest(early))
-    return first, state.prediction_upsert(first, _predictions(rows), _newest(rows))
+class _State:
+    """State tables built up to the cut and then brought up to date.
 
+    Each step is written out, as state is between refreshes, so the features behind it are
+    computed once however often the state is read.
+    """
 
-def _markers(spark: SparkSession, sf: str) -> DataFrame:
-    early, rows = _readings(spark, sf)
-    before, after = _stored(spark, sf)
+    def __init__(self, spark: SparkSession, sf: str, with_markers: bool = True):
+        self.predictions = state.reset_state(spark, PREDICTIONS)
+        self.markers = state.reset_state(spark, MARKERS)
+        for rows in _readings(spark, sf):
+            newest = _newest(rows)
+            scored = _predictions(rows)
+            self.predictions = staged(state.prediction_upsert(self.predictions, scored, newest), "predictions")
+            if with_markers:
+                seconds = epoch_seconds(newest) - epoch_seconds(ntz(p.START))
+                epoch = F.floor(seconds / p.SERIES_CLOCK.step_seconds)
+                kept = _width(state.marker_maintenance, self.markers, self.predictions, newest, epoch)
+                self.markers = staged(kept, "markers")
 
-    def epoch(newest: Column) -> Column:
-        return F.floor((epoch_seconds(newest) - epoch_seconds(ntz(p.START))) / p.SERIES_CLOCK.step_seconds)
 
-    first = _width(state.marker_maintenance, state.reset_state(spark, MARKERS), before, _newest(early), epoch(_newest(early)))
-    return _width(state.marker_maintenance, first, after, _newest(rows), epoch(_newest(rows)))
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return _State(spark, sf, with_markers=False).predictions
 
 
 # --- slices, features, profiles ------------------------------------------------------------
@@ -156,9 +163,8 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Both parts of the split, cut from one checkpoint: fitting passes over them many times."""
-    scratch_path(spark, "split")
-    split = _split(spark, sf).checkpoint()
+    """Both parts of the split, read from a staged table: fitting passes over them many times."""
+    split = staged(_split(spark, sf), "split")
     return split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
 
 
@@ -222,17 +228,18 @@ def regression_mae(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prediction_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_stored(spark, sf)[1])
+    return rounded(_stored(spark, sf))
 
 
 @query
 def marker_maintenance(spark: SparkSession, sf: str) -> DataFrame:
-    return _markers(spark, sf)
+    return _State(spark, sf).markers
 
 
 @query
 def breakdown_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return state.breakdown_projection(_markers(spark, sf), _stored(spark, sf)[1], p.MAP_EPOCH, p.PROJECTION_HOURS)
+    kept = _State(spark, sf)
+    return state.breakdown_projection(kept.markers, kept.predictions, p.MAP_EPOCH, p.PROJECTION_HOURS)
 
 
 @query
@@ -261,22 +268,22 @@ def cursor_advance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fleet_status(spark: SparkSession, sf: str) -> DataFrame:
-    return fleet.fleet_status(fx.entities(spark, sf), fx.telemetry(spark, sf), _markers(spark, sf), p.STATUS_CLOCK)
+    return fleet.fleet_status(fx.entities(spark, sf), fx.telemetry(spark, sf), _State(spark, sf).markers, p.STATUS_CLOCK)
 
 
 @query
 def prediction_freshness(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fleet.prediction_freshness(_stored(spark, sf)[1], fx.telemetry(spark, sf), p.STATUS_CLOCK))
+    return rounded(fleet.prediction_freshness(_stored(spark, sf), fx.telemetry(spark, sf), p.STATUS_CLOCK))
 
 
 @query
 def fleet_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return fleet.fleet_counters(fx.telemetry(spark, sf), _stored(spark, sf)[1])
+    return fleet.fleet_counters(fx.telemetry(spark, sf), _stored(spark, sf))
 
 
 @query
 def marker_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return fleet.marker_listing(_markers(spark, sf))
+    return fleet.marker_listing(_State(spark, sf).markers)
 
 
 @query
@@ -325,10 +332,11 @@ def series_backfill_strict(spark: SparkSession, sf: str) -> DataFrame:
 # --- routes --------------------------------------------------------------------------------
 
 
-def _trucks(spark: SparkSession, sf: str) -> DataFrame:
+def _trucks(spark: SparkSession, sf: str, kept: _State | None = None) -> DataFrame:
     """Where the map shows each truck."""
+    kept = kept or _State(spark, sf)
     return fleet.truck_positions(
-        fx.routes(spark, sf), fx.waypoints(spark, sf), _markers(spark, sf), _stored(spark, sf)[1], p.MAP_EPOCH
+        fx.routes(spark, sf), fx.waypoints(spark, sf), kept.markers, kept.predictions, p.MAP_EPOCH
     )
 
 
@@ -404,16 +412,15 @@ class _Stops:
     """What the stop queries share for one run."""
 
     def __init__(self, spark: SparkSession, sf: str, with_paths: bool = False):
-        self.spark, self.sf = spark, sf
-        scratch_path(spark, "stops")
+        self.kept = _State(spark, sf)
         # These small tables (one row per truck, or per truck and path node) feed several
         # branches each, so they are computed once.
-        self.snapped = _snapped(spark, sf).checkpoint()
-        self.trucks = _trucks(spark, sf).select("entity_id", "latitude", "longitude").checkpoint()
+        self.snapped = staged(_snapped(spark, sf), "snapped")
+        placed = _trucks(spark, sf, self.kept).select("entity_id", "latitude", "longitude")
+        self.trucks = staged(placed, "trucks")
         self.nearest = stops.nearest_path_node(self.trucks, fx.path_nodes(spark, sf), fx.nodes(spark, sf))
-        self.positions = stops.stop_positions(
-            self.trucks, fx.waypoints(spark, sf), self.nearest, self.snapped, p.MAP_EPOCH
-        ).checkpoint()
+        standing = stops.stop_positions(self.trucks, fx.waypoints(spark, sf), self.nearest, self.snapped, p.MAP_EPOCH)
+        self.positions = staged(standing, "positions")
         if with_paths:
             self.paths = _paths(spark, sf)
             self.centers = fx.service_centers(spark, sf)
@@ -431,7 +438,7 @@ class _Stops:
 
     def ranking(self) -> DataFrame:
         scored = stops.scored_stops(
-            self.departures(), self.detours, self.snapped, self.positions, self.paths, _stored(self.spark, self.sf)[1]
+            self.departures(), self.detours, self.snapped, self.positions, self.paths, self.kept.predictions
         )
         return stops.service_ranking(scored, self.centers)
 
@@ -535,6 +542,7 @@ def service_recommendation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a file stream; a single file can only be named through a pattern."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
@@ -557,7 +565,7 @@ def _prediction_stream(spark: SparkSession, work: str, **parts: bool) -> jobs.Pr
 @query
 def stream_slice_agg(spark: SparkSession, sf: str) -> DataFrame:
     work = scratch_path(spark, "slices")
-    readings = fx.with_measures(_stream(spark, f"{sf}/events.parquet"))
+    readings = fx.with_measures(_stream(spark, f"{sf}/[e]vents.parquet"))
     jobs.run_slice_aggregate(
         readings, f"{work}/slices", f"{work}/checkpoint", p.WIDTH_MINUTES, f"{p.STREAM_DELAY_HOURS} hours"
     )
