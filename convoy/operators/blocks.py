@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,6 +80,16 @@ def scan_blocks(
     )
 
 
+def balanced_width(df: DataFrame, position: Column) -> int:
+    """Width of blocks along a numeric position so that rows per block and blocks balance.
+
+    Both grow as the square root of the row count, so neither the tasks inside the blocks
+    nor the pass over them holds a fixed share of the data. One pass over one column.
+    """
+    rows, low, high = df.agg(F.count(position), F.min(position), F.max(position)).first()
+    return max(1, int((high - low + 1) / max(1.0, rows**0.5))) if rows else 1
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], name: str) -> DataFrame:
     """1-based position per ``keys``; ``order`` must be unique inside a key."""
     scanned = scan_blocks(df.withColumn("_one", F.lit(1).cast("long")), keys, block, order, sums=["_one"])

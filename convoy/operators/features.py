@@ -64,12 +64,18 @@ def _zero_if_null(value: Column, name: str) -> Column:
     return F.coalesce(value, F.lit(0)).alias(name)
 
 
-def feature_slices(telemetry: DataFrame, width_minutes: int = 5, labelled: bool = False) -> DataFrame:
+def feature_slices(telemetry: DataFrame, width_minutes: int = 5, label: str | None = None) -> DataFrame:
     """Averages, sample deviations and row count per entity and slice, sparse slices included.
 
-    Points are reduced by partial aggregation before any shuffle.
+    Points are reduced by partial aggregation before any shuffle. ``label`` is as for
+    ``temporal_features``.
     """
-    labels = [F.max("failure_type").alias("failure_type"), F.avg("time_to_failure").alias("time_to_failure")]
+    pick = {"max": F.max, "mode": lambda c: F.mode(c, deterministic=True)}
+    labels = (
+        [pick[label]("failure_type").alias("failure_type"), F.avg("time_to_failure").alias("time_to_failure")]
+        if label
+        else []
+    )
     return (
         telemetry.groupBy("entity_id", F.window("ts", f"{width_minutes} minutes").alias("slice"))
         .agg(
@@ -77,7 +83,7 @@ def feature_slices(telemetry: DataFrame, width_minutes: int = 5, labelled: bool
             *[F.avg(m).alias(f"avg_{m}") for m in MEASURES],
             *[F.stddev_samp(m).alias(f"stddev_{m}") for m in MEASURES],
             F.count(F.lit(1)).alias("record_count"),
-            *(labels if labelled else []),
+            *labels,
         )
         .withColumn("slice_start", F.col("slice.start"))
         .drop("slice")
@@ -91,14 +97,15 @@ def temporal_features(
     elevated_threshold: float = 0.7,
     slope_minutes: float | None = None,
     block_slices: int = 288,
-    labelled: bool = False,
+    label: str | None = None,
 ) -> DataFrame:
     """The 16 features per entity and slice, for slices of at least ``min_records`` rows.
 
-    ``labelled`` adds ``failure_type`` (lexicographic maximum in the slice) and
-    ``time_to_failure`` (mean).
+    ``label`` adds the slice's ``failure_type`` and mean ``time_to_failure``: "max" takes the
+    lexicographic maximum (a slice mixing NORMAL and ENGINE_FAILURE counts as NORMAL), "mode"
+    the most frequent type.
     """
-    slices = feature_slices(telemetry, width_minutes, labelled)
+    slices = feature_slices(telemetry, width_minutes, label)
     return features_of_slices(slices, width_minutes, min_records, elevated_threshold, slope_minutes, block_slices)
 
 

@@ -117,16 +117,16 @@ def chart_data(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> Data
     width before the bound, which lets the scan skip the rest.
     """
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(width_minutes))
-    newest = telemetry.select(slice_end(F.max("ts"), width_minutes * 60)).scalar()
-    bound = newest - _hours(hours)
-    near = telemetry.filter(F.col("ts") >= bound - width)
-    return _chart_rows(slice_aggregate(near, width_minutes).filter(F.col("bucket_time") >= bound), hours)
+    bound = slice_end(F.max("ts"), width_minutes * 60) - _hours(hours)
+    near = telemetry.filter(F.col("ts") >= telemetry.select(bound - width).scalar())
+    slices = slice_aggregate(near, width_minutes).filter(F.col("bucket_time") >= telemetry.select(bound).scalar())
+    return _chart_rows(slices, hours)
 
 
 def chart_data_raw(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> DataFrame:
     """As ``chart_data`` but cut by point time, so the first slice may be partial."""
-    newest = telemetry.select(F.max("ts")).scalar()
-    return _chart_rows(slice_aggregate(telemetry.filter(F.col("ts") >= newest - _hours(hours)), width_minutes), hours)
+    bound = telemetry.select(F.max("ts") - _hours(hours)).scalar()
+    return _chart_rows(slice_aggregate(telemetry.filter(F.col("ts") >= bound), width_minutes), hours)
 
 
 def marker_listing(markers: DataFrame) -> DataFrame:
@@ -135,20 +135,20 @@ def marker_listing(markers: DataFrame) -> DataFrame:
     ).orderBy("entity_id", "failure_type")
 
 
-def dataset_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count, engine temperature checksum and entity count per table, largest first."""
-    profiles = [
-        df.agg(
+def dataset_profile(rows: DataFrame) -> DataFrame:
+    """Row count, engine temperature checksum and entity count per ``table_name``, largest first.
+
+    Several tables are profiled as their union, each under its name.
+    """
+    return (
+        rows.groupBy("table_name")
+        .agg(
             F.count(F.lit(1)).alias("row_count"),
             F.round(F.sum("engine_temp"), 2).alias("total_engine_temp"),
             F.countDistinct("entity_id").alias("entities"),
-        ).select(F.lit(name).alias("table_name"), "*")
-        for name, df in tables.items()
-    ]
-    result = profiles[0]
-    for other in profiles[1:]:
-        result = result.unionByName(other)
-    return result.orderBy(F.desc("row_count"), "table_name")
+        )
+        .orderBy(F.desc("row_count"), "table_name")
+    )
 
 
 def route_extent(waypoints: DataFrame) -> DataFrame:

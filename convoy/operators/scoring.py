@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,13 +60,13 @@ def prediction_columns(kind: Column, ttf: Column) -> list[Column]:
     ]
 
 
-def score_rules(latest: DataFrame, rules: RuleThresholds = RuleThresholds()) -> DataFrame:
-    """Threshold rules behind the same routing as the fitted models."""
+def score_rules(latest: DataFrame, rules: RuleThresholds = RuleThresholds(), keep: Sequence[str] = ()) -> DataFrame:
+    """Threshold rules behind the same routing as the fitted models; ``keep`` passes columns on."""
     kind = F.col("_class")
     electrical = guarded_ttf(24 - F.col("cumulative_volatility") / 2, TEMPORAL_FEATURES_AS_DOUBLE)
     basic = guarded_ttf(F.col("avg_engine_temp") / 10, BASIC_FEATURES)
     ttf = F.when(kind == "ELECTRICAL_FAILURE", electrical).when(kind.isin(BASIC_CLASSES), basic)
-    return latest.withColumn("_class", rule_class(rules)).select(*prediction_columns(kind, ttf))
+    return latest.withColumn("_class", rule_class(rules)).select(*prediction_columns(kind, ttf), *keep)
 
 
 # The count among the temporal inputs is an integer and never missing.

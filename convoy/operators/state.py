@@ -174,8 +174,8 @@ def cursor_advance_backfill(config: DataFrame, next_epoch: int, epochs: int) ->
 
 def retention_filter(telemetry: DataFrame, hours: int = RETENTION_HOURS) -> DataFrame:
     """Rows no older than ``hours`` before the newest one."""
-    newest = telemetry.select(F.max("ts")).scalar()
-    return telemetry.filter(F.col("ts") >= newest - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    bound = telemetry.select(F.max("ts") - F.make_dt_interval(F.lit(0), F.lit(hours))).scalar()
+    return telemetry.filter(F.col("ts") >= bound)
 
 
 def reset_state(spark: SparkSession, schema: str) -> DataFrame:

@@ -252,16 +252,20 @@ def scored_stops(
 def service_ranking(scored: DataFrame, centers: DataFrame) -> DataFrame:
     """The ten best centers per truck, with the figures shown to a dispatcher.
 
-    A group limit on the rank drops all but ten rows per truck before they move.
+    Centers of one node score alike and rank by their id, so only the first ten of each node
+    can be among a truck's ten; the others never meet the trucks. Rank limits drop surplus
+    rows before they move.
     """
     order = W.partitionBy("entity_id").orderBy("score", "center_id")
+    by_id = W.partitionBy("center_node").orderBy("center_id")
     hours = F.col("effective_dist") / SPEED_MPH
     kind = (
         F.when(F.col("ahead"), "ON_ROUTE_AHEAD").when(F.col("on_route"), "ON_ROUTE_BEHIND").otherwise("DETOUR")
     )
     facts = centers.select("center_id", "name", "city", F.col("state_code").alias("state"), F.col("node_id").alias("center_node"))
+    first = facts.withColumn("_nth", F.row_number().over(by_id)).filter(F.col("_nth") <= OPTION_ROWS).drop("_nth")
     return (
-        scored.join(facts, "center_node")
+        scored.join(first, "center_node")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= OPTION_ROWS)
         .select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.operators.blocks import scan_blocks
+from convoy.operators.blocks import balanced_width, scan_blocks
 from convoy.plans.parameters import FLEET_SIZE, SERIES_EPOCH
 
 
@@ -65,13 +65,15 @@ def training(spark: SparkSession, sf_dir: str, fleet_size: int | None = FLEET_SI
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with their position per entity and the running sum of the pressure."""
+    events = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     readings = (
-        with_measures(table(spark, sf_dir, "events"))
+        with_measures(events)
         .drop("event_type")
-        .withColumn("_hour", F.date_trunc("hour", "ts"))
+        .withColumn("_block", F.floor(micros / balanced_width(events, micros)))
         .withColumn("_one", F.lit(1).cast("long"))
     )
-    return scan_blocks(readings, ["entity_id"], "_hour", ["ts", "event_id"], sums=["_one", "trans_oil_pressure"])
+    return scan_blocks(readings, ["entity_id"], "_block", ["ts", "event_id"], sums=["_one", "trans_oil_pressure"])
 
 
 def baseline_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,14 +84,15 @@ def baseline_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def override_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
+    events = table(spark, sf_dir, "events")
     readings = (
-        with_measures(table(spark, sf_dir, "events"))
+        with_measures(events)
         .filter(kind.isin("purchase", "signup", "error"))
         .withColumn(
             "failure_type",
             F.when(kind == "purchase", "ENGINE").when(kind == "signup", "TRANSMISSION").otherwise("ELECTRICAL"),
         )
-        .withColumn("_block", F.floor(F.col("event_id") / 1024))
+        .withColumn("_block", F.floor(F.col("event_id") / balanced_width(events, F.col("event_id"))))
         .withColumn("_one", F.lit(1).cast("long"))
         .drop("event_type", "entity_id", "ts")
     )
@@ -148,7 +151,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("l_orderkey", "l_suppkey")
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select("l_orderkey", F.col("s_nationkey").cast("long").alias("b"))
-        .distinct()
     )
     placed = (
         table(spark, sf_dir, "orders")

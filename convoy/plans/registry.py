@@ -40,12 +40,20 @@ def _width(fn: Callable[..., DataFrame], *args, **kwargs) -> DataFrame:
     return fn(*args, width_minutes=p.WIDTH_MINUTES, **kwargs)
 
 
-def _features(rows: DataFrame, labelled: bool = False) -> DataFrame:
+def _features(rows: DataFrame, label: str | None = None) -> DataFrame:
     return ft.temporal_features(
-        rows, p.WIDTH_MINUTES, p.MIN_RECORDS, p.ELEVATED, block_slices=p.BLOCK_SLICES, labelled=labelled
+        rows, p.WIDTH_MINUTES, p.MIN_RECORDS, p.ELEVATED, block_slices=p.BLOCK_SLICES, label=label
     )
 
 
+def _waypoints(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(fx.waypoints(spark, sf), "waypoints")
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(fx.edges(spark, sf), "edges")
+
+
 def _readings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Telemetry up to the cut, and all of it."""
     rows = fx.telemetry(spark, sf)
@@ -110,14 +118,16 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def training_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_features(fx.training(spark, sf), labelled=True))
+    return rounded(_features(fx.training(spark, sf), label="max"))
 
 
 @query
 def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.with_measures(fx.table(spark, sf, "events"))
-    kinds = {kind: rows.filter(F.col("event_type") == kind) for kind in ("purchase", "signup", "error")}
-    return fleet.dataset_profile({"baseline": rows, **kinds})
+    # Every event is a baseline row, those of three kinds are override rows as well.
+    kind = F.col("event_type")
+    override = F.when(kind.isin("purchase", "signup", "error"), kind)
+    names = F.explode(F.array_compact(F.array(F.lit("baseline"), override)))
+    return fleet.dataset_profile(fx.with_measures(fx.table(spark, sf, "events")).withColumn("table_name", names))
 
 
 @query
@@ -152,9 +162,8 @@ def _split(spark: SparkSession, sf: str) -> DataFrame:
     order = F.pmod(
         epoch_seconds(F.col("feature_timestamp")) * 7919 + fx.truck_number() * 104729, F.lit(training.SPLIT_MODULUS)
     )
-    return training.stratified_split(
-        _features(fx.training(spark, sf), labelled=True), "failure_type", order, ["entity_id", "feature_timestamp"]
-    )
+    labelled = staged(_features(fx.training(spark, sf), label="max"), "training")
+    return training.stratified_split(labelled, "failure_type", order, ["entity_id", "feature_timestamp"])
 
 
 @query
@@ -196,11 +205,8 @@ def train_ttf_temporal(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ruled(spark: SparkSession, sf: str) -> DataFrame:
     """All labelled slices with the rule scorer's class and hours as the prediction."""
-    labelled = _features(fx.training(spark, sf), labelled=True).withColumnRenamed("feature_timestamp", "prediction_timestamp")
-    scored = scoring.score_rules(labelled)
-    return labelled.select("entity_id", "prediction_timestamp", "failure_type", "time_to_failure").join(
-        scored, ["entity_id", "prediction_timestamp"]
-    )
+    labelled = _features(fx.training(spark, sf), label="max").withColumnRenamed("feature_timestamp", "prediction_timestamp")
+    return scoring.score_rules(labelled, keep=["failure_type", "time_to_failure"])
 
 
 @query
@@ -332,22 +338,18 @@ def series_backfill_strict(spark: SparkSession, sf: str) -> DataFrame:
 # --- routes --------------------------------------------------------------------------------
 
 
-def _trucks(spark: SparkSession, sf: str, kept: _State | None = None) -> DataFrame:
+def _trucks(spark: SparkSession, sf: str, kept: _State | None = None, waypoints: DataFrame | None = None) -> DataFrame:
     """Where the map shows each truck."""
     kept = kept or _State(spark, sf)
     return fleet.truck_positions(
-        fx.routes(spark, sf), fx.waypoints(spark, sf), kept.markers, kept.predictions, p.MAP_EPOCH
+        fx.routes(spark, sf), waypoints or _waypoints(spark, sf), kept.markers, kept.predictions, p.MAP_EPOCH
     )
 
 
 def _route_points(spark: SparkSession, sf: str) -> DataFrame:
     key = ["entity_id"]
     hops = routes.path_hops(fx.path_nodes(spark, sf), key)
-    return routes.line_points(routes.hop_points(hops, fx.edges(spark, sf), key), key)
-
-
-def _snapped(spark: SparkSession, sf: str) -> DataFrame:
-    return routes.snap_nodes(fx.path_nodes(spark, sf), fx.nodes(spark, sf), fx.waypoints(spark, sf))
+    return routes.line_points(routes.hop_points(hops, _edges(spark, sf), key), key)
 
 
 @query
@@ -362,7 +364,7 @@ def truck_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(routes.route_geometry(fx.path_nodes(spark, sf), fx.edges(spark, sf), fx.routes(spark, sf)))
+    return rounded(routes.route_geometry(fx.path_nodes(spark, sf), _edges(spark, sf), fx.routes(spark, sf)))
 
 
 @query
@@ -382,7 +384,7 @@ def polyline_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def snap_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _snapped(spark, sf)
+    return routes.snap_nodes(fx.path_nodes(spark, sf), fx.nodes(spark, sf), _waypoints(spark, sf))
 
 
 @query
@@ -401,7 +403,7 @@ def service_centers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shortest_paths(fx.adjacency(fx.edges(spark, sf)), fx.nodes(spark, sf))
+    return graph.shortest_paths(fx.adjacency(_edges(spark, sf)), fx.nodes(spark, sf))
 
 
 def _detours(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,14 +417,17 @@ class _Stops:
         self.kept = _State(spark, sf)
         # These small tables (one row per truck, or per truck and path node) feed several
         # branches each, so they are computed once.
-        self.snapped = staged(_snapped(spark, sf), "snapped")
-        placed = _trucks(spark, sf, self.kept).select("entity_id", "latitude", "longitude")
+        self.waypoints = _waypoints(spark, sf)
+        nodes, path_nodes = fx.nodes(spark, sf), fx.path_nodes(spark, sf)
+        self.snapped = staged(routes.snap_nodes(path_nodes, nodes, self.waypoints), "snapped")
+        placed = _trucks(spark, sf, self.kept, self.waypoints).select("entity_id", "latitude", "longitude")
         self.trucks = staged(placed, "trucks")
-        self.nearest = stops.nearest_path_node(self.trucks, fx.path_nodes(spark, sf), fx.nodes(spark, sf))
-        standing = stops.stop_positions(self.trucks, fx.waypoints(spark, sf), self.nearest, self.snapped, p.MAP_EPOCH)
+        self.nearest = stops.nearest_path_node(self.trucks, path_nodes, nodes)
+        standing = stops.stop_positions(self.trucks, self.waypoints, self.nearest, self.snapped, p.MAP_EPOCH)
         self.positions = staged(standing, "positions")
         if with_paths:
-            self.paths = _paths(spark, sf)
+            self.edges = _edges(spark, sf)
+            self.paths = graph.shortest_paths(fx.adjacency(self.edges), nodes)
             self.centers = fx.service_centers(spark, sf)
             self.detours = graph.detour_table(self.paths, self.centers)
 
@@ -462,7 +467,7 @@ def detour_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def detour_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
         stops.detour_lookup(
-            fx.waypoints(spark, sf),
+            _waypoints(spark, sf),
             fx.routes(spark, sf),
             fx.path_nodes(spark, sf),
             fx.nodes(spark, sf),
@@ -498,7 +503,7 @@ def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
     shared = _Stops(spark, sf, with_paths=True)
     # A third of the drives has no stored line, so that every way to draw one occurs.
     a, b = (F.substring(c, 2, 12).cast("long") for c in ("from_node_id", "to_node_id"))
-    stored = graph.path_geometry(shared.paths, fx.edges(spark, sf)).filter((a + 2 * b) % 3 != 0)
+    stored = graph.path_geometry(shared.paths, shared.edges).filter((a + 2 * b) % 3 != 0)
     pairs = shared.reconnections().select("center_node", "reconnect_node")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
 
@@ -524,7 +529,7 @@ def route_segment(spark: SparkSession, sf: str) -> DataFrame:
             "end_lat",
         )
     )
-    return rounded(routes.route_segments(fx.waypoints(spark, sf), segments))
+    return rounded(routes.route_segments(shared.waypoints, segments))
 
 
 @query

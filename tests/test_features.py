@@ -123,8 +123,10 @@ def test_labels_take_the_lexicographic_maximum(spark, at, rows):
     ]
     df = spark.createDataFrame(data, "entity_id string, ts timestamp_ntz, failure_type string, time_to_failure double")
     full = df.selectExpr("*", "1D engine_temp", "1D trans_oil_pressure", "12D battery_voltage")
-    found = rows(temporal_features(full, min_records=2, labelled=True), "failure_type", "time_to_failure")
+    found = rows(temporal_features(full, min_records=2, label="max"), "failure_type", "time_to_failure")
     assert found == [("NORMAL", 3.0), ("TRANSMISSION_FAILURE", 2.5)]
+    more = full.unionByName(full.filter("failure_type = 'ENGINE_FAILURE'"))
+    assert rows(temporal_features(more, min_records=3, label="mode"), "failure_type") == [("ENGINE_FAILURE",)]
 
 
 def test_latest_rows(spark, at, rows):
