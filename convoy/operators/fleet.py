@@ -113,14 +113,14 @@ def _hours(hours: int) -> Column:
 def chart_data(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> DataFrame:
     """Slice averages of the last ``hours``, counted back from the newest slice end.
 
-    Whole slices are kept or left out. The points of those kept all lie within one slice
-    width before the bound, which lets the scan skip the rest.
+    Whole slices are kept or left out: those that start no earlier than one width before the
+    bound. No point of theirs is older either, so the scan skips what is.
     """
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(width_minutes))
-    bound = slice_end(F.max("ts"), width_minutes * 60) - _hours(hours)
-    near = telemetry.filter(F.col("ts") >= telemetry.select(bound - width).scalar())
-    slices = slice_aggregate(near, width_minutes).filter(F.col("bucket_time") >= telemetry.select(bound).scalar())
-    return _chart_rows(slices, hours)
+    newest = slice_end(F.max("ts"), width_minutes * 60)
+    earliest = telemetry.select(newest - _hours(hours) - width).scalar()
+    slices = slice_aggregate(telemetry.filter(F.col("ts") >= earliest), width_minutes)
+    return _chart_rows(slices.filter(F.col("bucket_time") - width >= earliest), hours)
 
 
 def chart_data_raw(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> DataFrame:

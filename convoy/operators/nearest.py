@@ -51,9 +51,11 @@ def nearest(
     cells that can still hold its nearest point, and is joined with the points of those.
     """
     located = points.filter(F.col("plat").isNotNull() & F.col("plon").isNotNull())
+    # A single number aggregates by hashing, a struct only after a sort.
+    smallest = F.struct(F.min(payload[0]).alias(payload[0])) if len(payload) == 1 else F.min(F.struct(*payload))
     places = (
         located.groupBy(*key, "plat", "plon")
-        .agg(F.min(F.struct(*payload)).alias("_payload"))
+        .agg(smallest.alias("_payload"))
         .withColumn("_cell", _cell(F.col("plat"), F.col("plon"), cell_degrees))
     )
     occupied = located.select(*key, _cell(F.col("plat"), F.col("plon"), cell_degrees).alias("_cell")).groupBy(*key).agg(

@@ -158,11 +158,11 @@ def prediction_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.prediction_distribution(_predictions(fx.telemetry(spark, sf)))
 
 
-def _split(spark: SparkSession, sf: str) -> DataFrame:
+def _split(spark: SparkSession, sf: str, label: str = "max") -> DataFrame:
     order = F.pmod(
         epoch_seconds(F.col("feature_timestamp")) * 7919 + fx.truck_number() * 104729, F.lit(training.SPLIT_MODULUS)
     )
-    labelled = staged(_features(fx.training(spark, sf), label="max"), "training")
+    labelled = staged(_features(fx.training(spark, sf), label), "training")
     return training.stratified_split(labelled, "failure_type", order, ["entity_id", "feature_timestamp"])
 
 
@@ -171,9 +171,9 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return _split(spark, sf).select("entity_id", "feature_timestamp", "failure_type", "is_train")
 
 
-def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _train_test(spark: SparkSession, sf: str, label: str = "max") -> tuple[DataFrame, DataFrame]:
     """Both parts of the split, read from a staged table: fitting passes over them many times."""
-    split = staged(_split(spark, sf), "split")
+    split = staged(_split(spark, sf, label), "split")
     return split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
 
 
@@ -193,13 +193,9 @@ def train_ttf_basic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_ttf_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _train_test(spark, sf)
+    # The lexicographic maximum leaves no electrical slice among these mixed ones.
+    train, test = _train_test(spark, sf, "mode")
     rows = test.filter(F.col("failure_type") == "ELECTRICAL_FAILURE")
-    if train.filter(F.col("failure_type") == "ELECTRICAL_FAILURE").isEmpty():
-        # The slice label is the lexicographic maximum, which an electrical slice only keeps
-        # when no other event falls into it: without any, fit on every failure row.
-        train = train.withColumn("failure_type", F.lit("ELECTRICAL_FAILURE"))
-        rows = test
     return training.regression_mae(training.train_ttf_temporal(train, ROUNDS, DEPTH).estimate(rows), "time_to_failure", "predicted_ttf")
 
 
@@ -503,7 +499,7 @@ def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
     shared = _Stops(spark, sf, with_paths=True)
     # A third of the drives has no stored line, so that every way to draw one occurs.
     a, b = (F.substring(c, 2, 12).cast("long") for c in ("from_node_id", "to_node_id"))
-    stored = graph.path_geometry(shared.paths, shared.edges).filter((a + 2 * b) % 3 != 0)
+    stored = staged(graph.path_geometry(shared.paths, shared.edges).filter((a + 2 * b) % 3 != 0), "geometry")
     pairs = shared.reconnections().select("center_node", "reconnect_node")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
 

@@ -51,6 +51,21 @@ def run_slice_aggregate(
     query.awaitTermination()
 
 
+def run_append(readings: DataFrame, target: str, checkpoint: str, trigger: dict = ONCE) -> None:
+    """Add arriving rows to the date-partitioned telemetry table, each exactly once."""
+    query = (
+        readings.withColumn("event_date", F.to_date("ts"))
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .partitionBy("event_date")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def _run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], mode: str, checkpoint: str, trigger: dict) -> None:
     query = (
         stream.writeStream.outputMode(mode)

@@ -54,6 +54,14 @@ def test_closed_slices_equal_the_batch(spark, tmp_path, feed, rows):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(closed)
 
 
+def test_append_adds_each_row_once(spark, tmp_path, feed, rows):
+    target, checkpoint = str(tmp_path / "telemetry"), str(tmp_path / "cp")
+    for data in ([reading("a", 1)], [reading("a", 2000), reading("b", 3)]):
+        jobs.run_append(feed(data), target, checkpoint)
+    stored = spark.read.parquet(target)
+    assert rows(stored.groupBy("event_date").count().selectExpr("string(event_date)", "count")) == [("2024-05-01", 2), ("2024-05-02", 1)]
+
+
 def test_latest_state_ignores_older_rows(spark, tmp_path, feed, rows):
     table = StateTable(spark, str(tmp_path / "latest"), jobs.LATEST)
     for data in ([reading("a", 5, 1.0), reading("b", 5, 2.0)], [reading("a", 4, 3.0), reading("b", 6, 4.0), reading("c", 1, 5.0)]):
