@@ -17,28 +17,61 @@ from pyspark.sql import functions as F
 from convoy.settings import BROADCAST_ROWS
 
 
+def _slotted(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
+    """Add the (keys, block) slot. As a struct it is never null itself, so no null filter is
+    inferred on one use of the rows only, and rows with a null key still meet their carry."""
+    return df.withColumn("_slot", F.struct(*keys, block))
+
+
+def _key_of_slot(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"_slot.{k}") for k in keys])
+
+
+def _plus(run: str, base: str) -> Column:
+    """Sum of two nullable parts, null when both are."""
+    zero = F.lit(0)
+    either = F.col(run).isNotNull() | F.col(base).isNotNull()
+    return F.when(either, F.coalesce(F.col(run), zero) + F.coalesce(F.col(base), zero))
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], sums: Sequence[str]
+) -> DataFrame:
+    """Add ``_run_<s>`` for each of ``sums``: its sum per ``keys`` up to this row, nulls skipped.
+
+    ``block`` must not decrease along ``order``. Block totals are partial aggregates, so the
+    rows themselves are shuffled and sorted once.
+    """
+    slotted = _slotted(df, keys, block)
+    upto = W.partitionBy("_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = slotted.select("*", *[F.sum(s).over(upto).alias(f"_run_{s}") for s in sums])
+    totals = slotted.groupBy("_slot").agg(*[F.sum(s).alias(f"_total_{s}") for s in sums])
+    before = W.partitionBy("_key").orderBy(f"_slot.{block}").rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.withColumn("_key", _key_of_slot(keys)).select(
+        "_slot", *[F.sum(f"_total_{s}").over(before).alias(f"_base_{s}") for s in sums]
+    )
+    return local.join(carry, "_slot", "left").select(
+        *df.columns, *[_plus(f"_run_{s}", f"_base_{s}").alias(f"_run_{s}") for s in sums]
+    )
+
+
 def scan_blocks(
     df: DataFrame,
     keys: Sequence[str],
     block: str,
     order: Sequence[str],
-    values: Sequence[str] = (),
+    values: Sequence[str],
     sums: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the two previous rows and running sums per ``keys`` in ``order``.
+    """Add the two previous rows, and running sums, per ``keys`` in ``order``.
 
     New columns: ``_prev1`` and ``_prev2`` (structs of ``values``, null when there is no such
-    row) and ``_run_<s>`` for each of ``sums`` (nulls skipped). ``block`` must not decrease
-    along ``order``.
+    row) and ``_run_<s>`` as for ``running_sums``. ``block`` must not decrease along ``order``.
     """
-    # Struct keys are never null themselves, so no null filter is inferred on one use of
-    # ``local`` only, and rows with a null key still meet their carried values.
-    slotted = df.withColumn("_slot", F.struct(*keys, block))
     inside = W.partitionBy("_slot").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = list(values or order)
     current = F.struct(*values)
-    local = slotted.select(
+    local = _slotted(df, keys, block).select(
         "*",
         F.lag(current, 1).over(inside).alias("_prev1"),
         F.lag(current, 2).over(inside).alias("_prev2"),
@@ -51,7 +84,7 @@ def scan_blocks(
         .agg(F.max_by(F.struct(*[c for c in local.columns if c not in ("_slot", block)]), F.struct(*order)).alias("_end"))
         .select(
             "_slot",
-            F.struct(*[F.col(f"_slot.{k}") for k in keys]).alias("_key"),
+            _key_of_slot(keys).alias("_key"),
             F.struct(*[F.col(f"_end.{v}") for v in values]).alias("_last"),
             F.col("_end._prev1").alias("_second"),
             *[F.col(f"_end._run_{s}").alias(f"_total_{s}") for s in sums],
@@ -65,18 +98,11 @@ def scan_blocks(
         F.coalesce(F.lag("_second", 1).over(across), F.lag("_last", 2).over(across)).alias("_c2"),
         *[F.sum(f"_total_{s}").over(before).alias(f"_base_{s}") for s in sums],
     )
-    zero = F.lit(0)
     return local.join(carry, "_slot", "left").select(
         *df.columns,
         F.coalesce("_prev1", "_c1").alias("_prev1"),
         F.coalesce("_prev2", F.when(F.col("_prev1").isNotNull(), F.col("_c1")).otherwise(F.col("_c2"))).alias("_prev2"),
-        *[
-            F.when(
-                F.col(f"_run_{s}").isNotNull() | F.col(f"_base_{s}").isNotNull(),
-                F.coalesce(F.col(f"_run_{s}"), zero) + F.coalesce(F.col(f"_base_{s}"), zero),
-            ).alias(f"_run_{s}")
-            for s in sums
-        ],
+        *[_plus(f"_run_{s}", f"_base_{s}").alias(f"_run_{s}") for s in sums],
     )
 
 
@@ -92,26 +118,24 @@ def balanced_width(df: DataFrame, position: Column) -> int:
 
 def number_rows(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], name: str) -> DataFrame:
     """1-based position per ``keys``; ``order`` must be unique inside a key."""
-    scanned = scan_blocks(df.withColumn("_one", F.lit(1).cast("long")), keys, block, order, sums=["_one"])
+    scanned = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, block, order, ["_one"])
     return scanned.select(*df.columns, F.col("_run__one").alias(name))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the frame is counted to be within ``BROADCAST_ROWS``."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    bound: DataFrame | None = None,
-    salts: int = 16,
+    big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str], broadcast: bool, salts: int = 16
 ) -> DataFrame:
     """Inner join of a long table with one row per key, even when one key is hot.
 
-    ``small`` is broadcast only once ``bound`` (by default itself; pass a cheaper frame that
-    has at least as many rows) is counted to be within ``BROADCAST_ROWS``. Otherwise the long
-    side is salted by a hash of ``spread`` and each lookup row is repeated per salt.
+    With ``broadcast`` (see ``fits_broadcast``) the lookup goes to every task. Otherwise the
+    long side is salted by a hash of ``spread`` and each lookup row is repeated per salt.
     """
-    size = (small if bound is None else bound).limit(BROADCAST_ROWS + 1).count()
-    if size <= BROADCAST_ROWS:
+    if broadcast:
         return big.join(F.broadcast(small), list(on))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

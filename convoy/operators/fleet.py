@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, ntz, slice_end
-from convoy.operators.blocks import lookup_join
+from convoy.operators.blocks import fits_broadcast, lookup_join
 from convoy.operators.features import MEASURES, latest_per_entity, slice_aggregate
 from convoy.settings import MILES_PER_EPOCH, Clock
 
@@ -191,13 +191,20 @@ def leg_position(extents: DataFrame, markers: DataFrame | None, epoch: int) -> D
 def nearest_mile(waypoints: DataFrame, targets: DataFrame, bound: DataFrame) -> DataFrame:
     """Per entity the waypoint nearest to ``target_miles``; ties go to the lowest epoch.
 
-    Each waypoint meets one target, and a struct minimum combines before the shuffle.
-    ``bound`` is a cheap frame with at least as many rows as ``targets``.
+    Each waypoint meets one target. The least gap is a plain hash aggregate over two columns;
+    only waypoints at that gap are compared as rows. ``bound`` is a cheap frame with at least
+    as many rows as ``targets``, counted to decide how the targets travel.
     """
+    broadcast = fits_broadcast(bound)
+    wanted = targets.select("entity_id", "target_miles")
     gap = F.abs(F.col("miles_from_start") - F.col("target_miles"))
-    met = lookup_join(waypoints, targets.select("entity_id", "target_miles"), ["entity_id"], ["epoch"], bound)
-    best = F.min(F.struct(gap.alias("gap"), "epoch", "latitude", "longitude", "heading"))
-    return met.groupBy("entity_id").agg(best.alias("_w")).select("entity_id", "_w.*")
+    marks = waypoints.select("entity_id", "epoch", "miles_from_start")
+    least = (
+        lookup_join(marks, wanted, ["entity_id"], ["epoch"], broadcast).groupBy("entity_id").agg(F.min(gap).alias("_gap"))
+    )
+    at_least = lookup_join(waypoints, wanted.join(least, "entity_id"), ["entity_id"], ["epoch"], broadcast)
+    best = F.min(F.struct("epoch", "latitude", "longitude", "heading"))
+    return at_least.filter(gap == F.col("_gap")).groupBy("entity_id").agg(best.alias("_w")).select("entity_id", "_w.*")
 
 
 def truck_positions(

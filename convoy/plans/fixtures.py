@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.operators.blocks import balanced_width, scan_blocks
+from convoy.operators.blocks import balanced_width, running_sums
 from convoy.plans.parameters import FLEET_SIZE, SERIES_EPOCH
 
 
@@ -73,7 +73,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("_block", F.floor(micros / balanced_width(events, micros)))
         .withColumn("_one", F.lit(1).cast("long"))
     )
-    return scan_blocks(readings, ["entity_id"], "_block", ["ts", "event_id"], sums=["_one", "trans_oil_pressure"])
+    return running_sums(readings, ["entity_id"], "_block", ["ts", "event_id"], ["_one", "trans_oil_pressure"])
 
 
 def baseline_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +96,14 @@ def override_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("_one", F.lit(1).cast("long"))
         .drop("event_type", "entity_id", "ts")
     )
-    return scan_blocks(readings, ["failure_type"], "_block", ["event_id"], sums=["_one"]).select(
+    return running_sums(readings, ["failure_type"], "_block", ["event_id"], ["_one"]).select(
         "failure_type", F.col("_run__one").alias("epoch"), "engine_temp", "trans_oil_pressure", "battery_voltage"
     )
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(truck_id(F.pmod("user_id", F.lit(FLEET_SIZE)) + 1).alias("entity_id")).distinct()
+    numbers = table(spark, sf_dir, "events").select((F.pmod("user_id", F.lit(FLEET_SIZE)) + 1).alias("n")).distinct()
+    return numbers.select(truck_id(F.col("n")).alias("entity_id"))
 
 
 def failure_config(spark: SparkSession, sf_dir: str, epoch: int = SERIES_EPOCH) -> DataFrame:

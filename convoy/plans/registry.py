@@ -338,7 +338,11 @@ def _trucks(spark: SparkSession, sf: str, kept: _State | None = None, waypoints:
     """Where the map shows each truck."""
     kept = kept or _State(spark, sf)
     return fleet.truck_positions(
-        fx.routes(spark, sf), waypoints or _waypoints(spark, sf), kept.markers, kept.predictions, p.MAP_EPOCH
+        staged(fx.routes(spark, sf), "routes"),
+        waypoints or _waypoints(spark, sf),
+        kept.markers,
+        kept.predictions,
+        p.MAP_EPOCH,
     )
 
 

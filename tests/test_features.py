@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, slice_end, slice_start
-from convoy.operators.blocks import lookup_join, number_rows, scan_blocks
+from convoy.operators.blocks import fits_broadcast, lookup_join, number_rows, running_sums, scan_blocks
 from convoy.operators.features import latest_features, latest_snapshot, slice_aggregate, temporal_features
 from convoy.streaming.stats import merge_stats, slice_stats, slices_of
 
@@ -147,25 +147,33 @@ def test_differences_count_boundaries(spark, at):
 def test_scan_blocks_finds_neighbours_over_empty_blocks(spark):
     data = [("k", b, o) for b, o in [(0, 1), (3, 2), (3, 3), (9, 4)]]
     df = spark.createDataFrame(data, "k string, b int, o int")
-    found = scan_blocks(df, ["k"], "b", ["o"], sums=["o"]).orderBy("o").collect()
+    found = scan_blocks(df, ["k"], "b", ["o"], ["o"], ["o"]).orderBy("o").collect()
     assert [(r.o, r._prev1 and r._prev1.o, r._prev2 and r._prev2.o, r._run_o) for r in found] == [
         (1, None, None, 1), (2, 1, None, 3), (3, 2, 1, 6), (4, 3, 2, 10),
     ]
 
 
-def test_number_rows_shares_one_shuffle_between_both_uses(spark):
+def test_running_sums_carry_over_blocks_and_null_keys(spark):
+    data = [(k, b, o, v) for k in ("k", None) for b, o, v in [(0, 1, None), (3, 2, 5), (3, 3, None), (9, 4, 7)]]
+    df = spark.createDataFrame(data, "k string, b int, o int, v int")
+    found = running_sums(df, ["k"], "b", ["o"], ["v"]).orderBy("k", "o").collect()
+    assert [r._run_v for r in found] == [None, 5, 5, 12] * 2
+
+
+def test_number_rows_per_key(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id", "id div 50 AS b")
     numbered = number_rows(df, ["k"], "b", ["id"], "n")
     numbered.collect()
     assert numbered.filter(F.col("n") == F.floor(F.col("id") / 3) + 1).count() == 1000
 
 
-@pytest.mark.parametrize("limit", [0, 10])
+@pytest.mark.parametrize("limit", [2, 3])
 def test_lookup_join_is_the_same_broadcast_or_salted(spark, rows, monkeypatch, limit):
     monkeypatch.setattr("convoy.operators.blocks.BROADCAST_ROWS", limit)
     big = spark.range(500).selectExpr("CASE WHEN id < 400 THEN 'hot' ELSE 'cold' END AS k", "id")
     small = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, v int")
-    joined = lookup_join(big, small, ["k"], ["id"])
+    assert fits_broadcast(small) == (limit == 3)
+    joined = lookup_join(big, small, ["k"], ["id"], fits_broadcast(small))
     assert rows(joined.groupBy("k", "v").count()) == [("cold", 2, 100), ("hot", 1, 400)]
 
 
