@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoy.functions.geo import haversine_miles
+from convoy.functions.geo import haversine_miles, map_xy
 from convoy.operators.blocks import number_rows, scan_blocks
 from convoy.operators.nearest import nearest
 
 BLOCK = 256
 
+# Grid cell of nearest-point matching on the map, in pixels.
+MAP_CELL = 20.0
+
 
 def _undirected(frame: DataFrame) -> DataFrame:
     """Order-free end points; equality on them is 'a to b or b to a', self-loops included."""
@@ -103,13 +106,15 @@ def polyline_downsample(points: DataFrame, every: int) -> DataFrame:
 
 
 def polyline_split(points: DataFrame, trucks: DataFrame) -> DataFrame:
-    """Each line cut at the point nearest to its truck, which belongs to both parts.
+    """Each line cut at the point nearest to its truck on the map, which belongs to both parts.
 
     ``trucks`` has (entity_id, latitude, longitude); ties go to the first point.
     """
-    queries = trucks.select("entity_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    candidates = points.select("entity_id", "pos", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    cut = nearest(queries, candidates, ["entity_id"], ["pos"]).select("entity_id", F.col("pos").alias("_cut"))
+    x, y = map_xy(F.col("latitude"), F.col("longitude"))
+    queries = trucks.select("entity_id", y.alias("lat"), x.alias("lon"))
+    x, y = map_xy(F.col("lat"), F.col("lon"))
+    candidates = points.select("entity_id", "pos", y.alias("plat"), x.alias("plon"))
+    cut = nearest(queries, candidates, ["entity_id"], ["pos"], MAP_CELL).select("entity_id", F.col("pos").alias("_cut"))
     part = F.when(F.col("pos") < F.col("_cut"), F.array(F.lit("TRAVELLED"))).when(
         F.col("pos") > F.col("_cut"), F.array(F.lit("REMAINING"))
     ).otherwise(F.array(F.lit("TRAVELLED"), F.lit("REMAINING")))

@@ -7,7 +7,7 @@ longitude) from ``stop_positions``; ``paths`` from ``shortest_paths``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -280,6 +280,7 @@ def service_ranking(scored: DataFrame, centers: DataFrame) -> DataFrame:
             F.bround("effective_dist", 0).cast("long").alias("distance_mi"),
             F.bround(hours, 1).alias("drive_hrs"),
             F.bround("detour_miles", 1).alias("detour_mi"),
+            "detour_miles",
             "on_route",
             "ahead",
             "safe",
@@ -293,17 +294,12 @@ def service_ranking(scored: DataFrame, centers: DataFrame) -> DataFrame:
     )
 
 
-def _miles_text(value: Column) -> Column:
-    """One decimal; a detour that came out as nothing prints as a bare 0."""
-    return F.when(value == 0, "0").otherwise(F.format_string("%.1f", value))
-
-
 def service_recommendation(ranking: DataFrame) -> DataFrame:
     """The first choice per truck with its reason in words."""
     name, miles, hours = F.col("name"), F.col("distance_mi"), F.col("drive_hrs")
-    # A backtrack is a product and keeps its decimal even at zero.
+    # Miles print with one decimal; only added miles floored at nothing are a bare 0.
     backtrack = F.format_string("%.1f", F.col("detour_mi"))
-    added = _miles_text(F.col("detour_mi"))
+    added = F.when(F.col("detour_miles") == 0, "0").otherwise(backtrack)
     reasoning = (
         F.when(F.col("safe") & F.col("ahead"), F.format_string(AHEAD_TEXT, name, miles, hours))
         .when(F.col("safe") & F.col("on_route"), F.format_string(BEHIND_TEXT, name, miles, hours, backtrack))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.functions.geo import haversine_miles
+from convoy.functions.geo import haversine_miles, map_xy
 from convoy.operators import fleet, routes
 from convoy.operators.nearest import nearest
 from convoy.settings import MILES_PER_EPOCH
@@ -77,12 +77,21 @@ def test_downsample_keeps_the_last_point(spark, rows):
 
 
 def test_split_shares_the_cut_point(spark, rows):
-    points = spark.range(5).selectExpr("'e' AS entity_id", "id AS pos", "CAST(id AS double) AS lon", "0D AS lat")
-    truck = spark.createDataFrame([("e", 0.3, 1.5)], "entity_id string, latitude double, longitude double")
+    points = spark.range(5).selectExpr("'e' AS entity_id", "id AS pos", "id - 100D AS lon", "40D AS lat")
+    truck = spark.createDataFrame([("e", 40.3, -98.5)], "entity_id string, latitude double, longitude double")
     found = rows(routes.polyline_split(points, truck), "part", "pos")
     assert found == [("REMAINING", i) for i in (1, 2, 3, 4)] + [("TRAVELLED", 0), ("TRAVELLED", 1)]
 
 
+def test_split_measures_on_the_map(spark, rows):
+    # One degree of latitude is 24 pixels, one of longitude 16.4.
+    points = spark.createDataFrame([("e", 0, -100.0, 41.0), ("e", 1, -101.2, 40.0)], "entity_id string, pos bigint, lon double, lat double")
+    truck = spark.createDataFrame([("e", 40.0, -100.0)], "entity_id string, latitude double, longitude double")
+    assert rows(routes.polyline_split(points, truck), "part", "pos") == [("REMAINING", 1), ("TRAVELLED", 0), ("TRAVELLED", 1)]
+    outside = spark.range(1).select(*map_xy(F.lit(80.0), F.lit(0.0))).first()
+    assert tuple(outside) == (950.0, 10.0)
+
+
 @pytest.mark.parametrize("cell, keyed", [(0.5, True), (1.0, False), (30.0, True)])
 def test_nearest_equals_brute_force(spark, cell, keyed):
     rnd = random.Random(8)
