@@ -1,14 +1,18 @@
-"""Exact nearest-point matching through a coarse grid."""
+"""Exact nearest-point matching through grids of shrinking cells."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convoy.functions.geo import degree_distance_sq
 
+# Cell sizes from coarse to fine, in degrees.
+LEVELS = (1.0, 1 / 16)
+
 # Widens the cell bound past the rounding of cell edges; candidates stay a superset.
 SLACK = 1e-9
 
@@ -33,55 +37,66 @@ def _farthest_corner_sq(lat: Column, lon: Column, cell: Column, size: float) ->
     return dy * dy + dx * dx
 
 
+def _least_reach(lat: Column, lon: Column, size: float) -> Column:
+    return F.array_min(F.transform("_cells", lambda cell: _farthest_corner_sq(lat, lon, cell, size)))
+
+
+def _within_reach(lat: Column, lon: Column, size: float) -> Column:
+    bound = F.col("_reach") + SLACK
+    return F.filter("_cells", lambda cell: _nearest_edge_sq(lat, lon, cell, size) <= bound)
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
     key: Sequence[str],
     payload: Sequence[str],
-    cell_degrees: float = 1.0,
+    levels: Sequence[float] = LEVELS,
 ) -> DataFrame:
     """Each query row with the ``payload`` of its nearest point and ``distance_sq``.
 
     Queries carry ``lat``/``lon``, points ``plat``/``plon``; both carry ``key`` (may be
-    empty: one common set of points). Distance is in degrees on the plane; ties go to the
-    smallest payload. Queries without any point are left out.
-
-    Points sharing a location are merged before they move. A query then meets the list of
-    occupied cells (at most 64,800 one-degree cells exist, whatever the data), keeps the
-    cells that can still hold its nearest point, and is joined with the points of those.
+    empty: one common set of points). Distance is on the plane; ties go to the smallest
+    payload. Queries without any point are left out.
+
+    Points sharing a location are merged before they move. A query first meets the list of
+    occupied cells of the coarsest grid (64,800 one-degree cells at most, whatever the data)
+    and keeps those that can hold its nearest point; each finer grid of ``levels`` looks into
+    the kept cells only. In the end a query is joined with the points of a few fine cells,
+    not with all points of its key. A cell size must be a multiple of the next.
     """
+    lat, lon = F.col("lat"), F.col("lon")
+    identity = queries.columns
     located = points.filter(F.col("plat").isNotNull() & F.col("plon").isNotNull())
-    # A single number aggregates by hashing, a struct only after a sort.
-    smallest = F.struct(F.min(payload[0]).alias(payload[0])) if len(payload) == 1 else F.min(F.struct(*payload))
-    places = (
-        located.groupBy(*key, "plat", "plon")
-        .agg(smallest.alias("_payload"))
-        .withColumn("_cell", _cell(F.col("plat"), F.col("plon"), cell_degrees))
-    )
-    occupied = located.select(*key, _cell(F.col("plat"), F.col("plon"), cell_degrees).alias("_cell")).groupBy(*key).agg(
-        F.collect_set("_cell").alias("_cells")
-    )
+    cells = [_cell(F.col("plat"), F.col("plon"), size) for size in levels]
+    occupied = located.select(*key, cells[0].alias("_cell")).groupBy(*key).agg(F.collect_set("_cell").alias("_cells"))
     if key:
-        framed = queries.join(occupied, list(key))
+        rows = queries.join(occupied, list(key))
     else:
-        framed = queries.withColumn("_cells", occupied.scalar())
-    lat, lon = F.col("lat"), F.col("lon")
-    bounded = framed.withColumn(
-        "_bound",
-        F.array_min(F.transform("_cells", lambda c: _farthest_corner_sq(lat, lon, c, cell_degrees))),
-    )
-    bound = F.col("_bound") + SLACK
-    candidates = bounded.select(
-        *queries.columns,
-        F.explode(F.filter("_cells", lambda c: _nearest_edge_sq(lat, lon, c, cell_degrees) <= bound)).alias("_cell"),
-    )
+        rows = queries.withColumn("_cells", occupied.scalar())
+    same_query = W.partitionBy(*identity)
+    candidates = None
+    for i, size in enumerate(levels):
+        if candidates is not None:
+            inner = located.select(*key, cells[i - 1].alias("_cell"), cells[i].alias("_inner"))
+            rows = candidates.join(
+                inner.groupBy(*key, "_cell").agg(F.collect_set("_inner").alias("_cells")), [*key, "_cell"]
+            )
+        # Some point is no farther than the far corner of the best cell.
+        rows = rows.withColumn("_reach", _least_reach(lat, lon, size))
+        if candidates is not None:
+            rows = rows.withColumn("_reach", F.min("_reach").over(same_query))
+        candidates = rows.select(*identity, F.explode(_within_reach(lat, lon, size)).alias("_cell"))
+    # A single number aggregates by hashing, a struct only after a sort.
+    smallest = F.struct(F.min(payload[0]).alias(payload[0])) if len(payload) == 1 else F.min(F.struct(*payload))
+    places = located.groupBy(*key, "plat", "plon").agg(smallest.alias("_payload")).withColumn("_cell", cells[-1])
     distance = degree_distance_sq(lat, lon, F.col("plat"), F.col("plon"))
     return (
         candidates.join(places, [*key, "_cell"])
-        .groupBy(*queries.columns)
+        .groupBy(*identity)
         .agg(F.min(F.struct(distance.alias("d"), "_payload")).alias("_best"))
         .select(
-            *queries.columns,
+            *identity,
             *[F.col(f"_best._payload.{p}").alias(p) for p in payload],
             F.col("_best.d").alias("distance_sq"),
         )

@@ -11,8 +11,8 @@ from convoy.operators.nearest import nearest
 
 BLOCK = 256
 
-# Grid cell of nearest-point matching on the map, in pixels.
-MAP_CELL = 20.0
+# Grid cells of nearest-point matching on the map, in pixels.
+MAP_LEVELS = (20.0, 1.25)
 
 
 def _undirected(frame: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def polyline_split(points: DataFrame, trucks: DataFrame) -> DataFrame:
     queries = trucks.select("entity_id", y.alias("lat"), x.alias("lon"))
     x, y = map_xy(F.col("lat"), F.col("lon"))
     candidates = points.select("entity_id", "pos", y.alias("plat"), x.alias("plon"))
-    cut = nearest(queries, candidates, ["entity_id"], ["pos"], MAP_CELL).select("entity_id", F.col("pos").alias("_cut"))
+    cut = nearest(queries, candidates, ["entity_id"], ["pos"], MAP_LEVELS).select("entity_id", F.col("pos").alias("_cut"))
     part = F.when(F.col("pos") < F.col("_cut"), F.array(F.lit("TRAVELLED"))).when(
         F.col("pos") > F.col("_cut"), F.array(F.lit("REMAINING"))
     ).otherwise(F.array(F.lit("TRAVELLED"), F.lit("REMAINING")))

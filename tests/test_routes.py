@@ -92,8 +92,8 @@ def test_split_measures_on_the_map(spark, rows):
     assert tuple(outside) == (950.0, 10.0)
 
 
-@pytest.mark.parametrize("cell, keyed", [(0.5, True), (1.0, False), (30.0, True)])
-def test_nearest_equals_brute_force(spark, cell, keyed):
+@pytest.mark.parametrize("levels, keyed", [((0.5,), True), ((1.0, 1 / 16), False), ((30.0, 3.0, 0.25), True), ((30.0,), True)])
+def test_nearest_equals_brute_force(spark, levels, keyed):
     rnd = random.Random(8)
     points = [(rnd.choice("kl"), i, round(rnd.uniform(25, 49), 2), round(rnd.uniform(-124, -67), 2)) for i in range(150)]
     points += [(k, 500 + i, lat, lon) for i, (k, _, lat, lon) in enumerate(points[:40])]  # shared places
@@ -101,7 +101,7 @@ def test_nearest_equals_brute_force(spark, cell, keyed):
     wanted = [(rnd.choice("klm"), i, rnd.choice([rnd.uniform(25, 49), 0.0, 30.0]), rnd.uniform(-124, 10)) for i in range(60)]
     q = spark.createDataFrame(wanted, "key string, id int, lat double, lon double")
     p = spark.createDataFrame(points, "key string, item int, plat double, plon double")
-    found = {r.id: r.item for r in nearest(q, p if keyed else p.drop("key"), ["key"] if keyed else [], ["item"], cell).collect()}
+    found = {r.id: r.item for r in nearest(q, p if keyed else p.drop("key"), ["key"] if keyed else [], ["item"], levels).collect()}
     expected = {}
     for key, i, lat, lon in wanted:
         own = [((lat - y) * (lat - y) + (lon - x) * (lon - x), item) for k, item, y, x in points if (k == key or not keyed) and y is not None]
