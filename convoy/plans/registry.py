@@ -501,10 +501,11 @@ def reconnect_best(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
     shared = _Stops(spark, sf, with_paths=True)
-    # A third of the drives has no stored line, so that every way to draw one occurs.
-    a, b = (F.substring(c, 2, 12).cast("long") for c in ("from_node_id", "to_node_id"))
-    stored = staged(graph.path_geometry(shared.paths, shared.edges).filter((a + 2 * b) % 3 != 0), "geometry")
-    pairs = shared.reconnections().select("center_node", "reconnect_node")
+    # Lines are stored one way and for drives of one road, so that a line is found directly,
+    # found turned round, or drawn over the nodes.
+    short = shared.paths.filter((F.col("source") < F.col("target")) & (F.size("path") <= 2))
+    stored = staged(graph.path_geometry(short, shared.edges), "geometry")
+    pairs = staged(shared.reconnections().select("center_node", "reconnect_node").distinct(), "pairs")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
 
 
