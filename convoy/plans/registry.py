@@ -40,9 +40,9 @@ def _width(fn: Callable[..., DataFrame], *args, **kwargs) -> DataFrame:
     return fn(*args, width_minutes=p.WIDTH_MINUTES, **kwargs)
 
 
-def _features(rows: DataFrame, label: str | None = None) -> DataFrame:
+def _features(rows: DataFrame, label: str | None = None, min_records: int = p.MIN_RECORDS) -> DataFrame:
     return ft.temporal_features(
-        rows, p.WIDTH_MINUTES, p.MIN_RECORDS, p.ELEVATED, block_slices=p.BLOCK_SLICES, label=label
+        rows, p.WIDTH_MINUTES, min_records, p.ELEVATED, block_slices=p.BLOCK_SLICES, label=label
     )
 
 
@@ -158,11 +158,11 @@ def prediction_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.prediction_distribution(_predictions(fx.telemetry(spark, sf)))
 
 
-def _split(spark: SparkSession, sf: str, label: str = "max") -> DataFrame:
+def _split(spark: SparkSession, sf: str, label: str = "max", min_records: int = p.MIN_RECORDS) -> DataFrame:
     order = F.pmod(
         epoch_seconds(F.col("feature_timestamp")) * 7919 + fx.truck_number() * 104729, F.lit(training.SPLIT_MODULUS)
     )
-    labelled = staged(_features(fx.training(spark, sf), label), "training")
+    labelled = staged(_features(fx.training(spark, sf), label, min_records), "training")
     return training.stratified_split(labelled, "failure_type", order, ["entity_id", "feature_timestamp"])
 
 
@@ -173,7 +173,7 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train_test(spark: SparkSession, sf: str, label: str = "max") -> tuple[DataFrame, DataFrame]:
     """Both parts of the split, read from a staged table: fitting passes over them many times."""
-    split = staged(_split(spark, sf, label), "split")
+    split = staged(_split(spark, sf, label, p.TRAIN_RECORDS), "split")
     return split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
 
 
@@ -212,7 +212,8 @@ def score_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     classifier = training.train_classifier(ruled, ROUNDS, DEPTH)
     basic = training.train_ttf_basic(ruled, ROUNDS, DEPTH)
     temporal = training.train_ttf_temporal(ruled, ROUNDS, DEPTH)
-    return scoring.score_hybrid(ft.latest_features(_features(fx.telemetry(spark, sf))), classifier, basic, temporal)
+    features = _features(fx.telemetry(spark, sf), min_records=p.TRAIN_RECORDS)
+    return scoring.score_hybrid(ft.latest_features(features), classifier, basic, temporal)
 
 
 @query
