@@ -134,6 +134,15 @@ def test_positions_out_and_back(spark):
     assert position(spark, int(per_leg * 2.5), hours=-1.0).ttf_hours is None
 
 
+def test_positions_do_not_depend_on_how_the_targets_travel(spark, rows, monkeypatch):
+    marks = waypoints(spark, (0, 30, 30, 60, 90)).unionByName(waypoints(spark, (0, 10), entity="f"))
+    wanted = spark.createDataFrame([("e", 45.0), ("f", 9.0), ("g", 1.0)], "entity_id string, target_miles double")
+    sent = rows(fleet.nearest_mile(marks, wanted, wanted))
+    assert [(r[0], r[1]) for r in sent] == [("e", 1), ("f", 1)]
+    monkeypatch.setattr("convoy.operators.blocks.BROADCAST_ROWS", 0)
+    assert rows(fleet.nearest_mile(marks, wanted, wanted)) == sent
+
+
 def test_broken_truck_stays_at_its_first_breakdown(spark):
     there = int(25 / MILES_PER_EPOCH)
     found = position(spark, 10**6, broken=[there * 3, there, None])
