@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def truck_id(number: Column) -> Column:
-    return F.concat(F.lit("TRUCK_"), F.lpad(number.cast("string"), 3, "0"))
+    text = number.cast("string")
+    return F.concat(F.lit("TRUCK_"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))
 
 
 def truck_number() -> Column:
