@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from convoy.llm.common import table
 from convoy.llm.exact_dedup import exact_duplicates
+from convoy.llm.ngram_join import jaccard_components
 from convoy.llm.packing import pack_best_fit
 from convoy.llm.sharding import shard_by_bytes
 
@@ -24,6 +25,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_file(), CAPACITY)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, n=3)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -34,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
