@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from convoy.llm.common import table
+from convoy.llm.decontaminate import benchmark_passages
 from convoy.llm.exact_dedup import exact_duplicates
 from convoy.llm.ngram_join import jaccard_components
 from convoy.llm.packing import pack_best_fit
+from convoy.llm.quality import quality_scores
 from convoy.llm.sharding import shard_by_bytes
 
 SHARDS, CAPACITY = 40, 2048
@@ -21,10 +23,18 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_file(), CAPACITY)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, n=3)
 
@@ -38,7 +48,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_ngram_join": op5_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
