@@ -14,6 +14,7 @@ from convoy.llm.packing import pack_best_fit
 from convoy.llm.quality import quality_scores
 from convoy.llm.sharding import shard_by_bytes
 from convoy.llm.suffix_dedup import remove_repeats
+from convoy.llm.toxicity import toxicity_scores
 
 SHARDS, CAPACITY = 40, 2048
 
@@ -40,6 +41,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, n=3)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_ngram_join": op5_ngram_join,
+    "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
