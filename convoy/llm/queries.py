@@ -11,6 +11,7 @@ from convoy.llm.decontaminate import benchmark_passages
 from convoy.llm.exact_dedup import exact_duplicates
 from convoy.llm.ngram_join import jaccard_components
 from convoy.llm.packing import pack_best_fit
+from convoy.llm.pii import personal_data
 from convoy.llm.quality import quality_scores
 from convoy.llm.sharding import shard_by_bytes
 from convoy.llm.suffix_dedup import remove_repeats
@@ -37,6 +38,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, n=3)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
