@@ -33,7 +33,7 @@ LEET = {
 }
 
 # Costs of the channel in nats: reading a sign, skipping a sign, a digit, a separator, a doubled or a dragged letter.
-READ, SKIP_SIGN, SKIP_DIGIT, SKIP_SEPARATOR, SKIP_DOUBLE, SKIP_DRAGGED = 2.5, 6.0, 8.0, 1.0, 5.0, 0.3
+READ, SKIP_SIGN, SKIP_DIGIT, SKIP_SEPARATOR, SKIP_DOUBLE, SKIP_DRAGGED = 2.5, 10.0, 14.0, 1.0, 5.0, 0.3
 
 _BORDER, _OTHER = len(LETTERS), len(LETTERS) + 1
 SIZE = len(LETTERS) + 2
@@ -105,8 +105,9 @@ def _readings(piece: str) -> list[list[tuple[str, float]]]:
                 options.append(("", SKIP_DRAGGED if dragged else SKIP_DOUBLE))
         else:
             options = [(letter, READ) for letter in LEET.get(c, "")]
+            reads = bool(options) and c != "*"
             again = i > 0 and piece[i - 1] == c
-            skip = SKIP_DRAGGED if again else SKIP_DIGIT if c.isdigit() else SKIP_SIGN if options and c != "*" else SKIP_SEPARATOR
+            skip = SKIP_SEPARATOR if not (reads or c.isdigit()) else SKIP_DOUBLE if again else SKIP_DIGIT if c.isdigit() else SKIP_SIGN
             options.append(("", skip))
         out.append(options)
     return out
