@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from convoy.llm.common import table
 from convoy.llm.decontaminate import benchmark_passages
 from convoy.llm.exact_dedup import exact_duplicates
+from convoy.llm.html_extract import main_text
 from convoy.llm.ngram_join import jaccard_components
 from convoy.llm.packing import pack_best_fit
 from convoy.llm.pii import personal_data
@@ -62,6 +63,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: The 256 remainders of the reflected polynomial 0xEDB88320, then a fold over the bytes.
