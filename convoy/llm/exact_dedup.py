@@ -128,3 +128,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(runs, ["part", "run"]).select(
         "doc_id", "keep_id", "group_size", (F.col("first") & ~F.col("goes_on")).alias("kept"), "text_sha256"
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows that stay; of rows with one id and equal texts the longest one does."""
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn("_content", F.sha2(normalised(text), 256))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_content"] == kept["_sha"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "_content").orderBy(F.length(text).desc(), text_col))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)

@@ -389,3 +389,13 @@ def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds:
     )
     tasks = outside.unionByName(inside).select("group", F.concat_ws(":", "row", "column").alias("block"), "node", "root")
     return _links_of(tasks.join(tokens, "node"), bounds)
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows of the smallest id of each component, one for each text of that id.
+
+    Rows without an id stay where no other document is in their component.
+    """
+    found = jaccard_components(docs, percent, n, id_col, text_col)
+    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates([id_col, text_col])
