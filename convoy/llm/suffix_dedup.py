@@ -206,15 +206,17 @@ def _settle_spans(batches: Iterator) -> Iterator:
         gram, span, order, place = (batch.column(c).to_numpy() for c in ("gram", "span", "ord", "place"))
         if not len(gram):
             continue
-        head = np.concatenate(([last is None or (gram[0], span[0]) != last], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])))
-        seen = ~head
+        head = np.concatenate(([last is None or (gram[0], span[0]) != last[:2]], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])))
+        # Rows equal in id and text are one document: a tuple just like the one before is the same passage.
+        moved = np.concatenate(([last is None or (order[0], place[0]) != last[2:]], (order[1:] != order[:-1]) | (place[1:] != place[:-1])))
+        seen = ~head & moved
         if seen.any():
             yield rows(0, gram[seen], order[seen], place[seen])
         heads = np.flatnonzero(head)
         g, o, p = gram[heads], order[heads], place[heads]
         if waiting is not None:
             g, o, p = np.append(waiting[0], g), np.append(waiting[1], o), np.append(waiting[2], p)
-        last = (gram[-1], span[-1])
+        last = (gram[-1], span[-1], order[-1], place[-1])
         if not len(g):
             continue
         # ``follows``: the gram of the first head is (or, first of all, might be) that of the one before.
