@@ -111,11 +111,11 @@ class RunWeights(dict):
 
     def __missing__(self, signature: str) -> float:
         if signature.startswith("<"):
-            value = -6.0 if signature.strip("</>").endswith("!") or signature.strip("</>!") in LEFT_OUT | {"script", "style"} else -0.3
+            value = -2.0 if signature.strip("</>").endswith("!") or signature.strip("</>!") in LEFT_OUT | {"script", "style"} else -0.3
         else:
             block, section, link = signature.split("|")
             bad = section.endswith("!") or section in LEFT_OUT | {"head", "html"}
-            value = -3.0 if bad else -0.5 if link else 1.0 if block in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.5
+            value = -1.0 if bad else -0.5 if link else 1.0 if block in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.5
         self[signature] = value
         return value
 

@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 WORDS = "the river stone walks under quiet copper light and seven birds carry old letters over cold water while bread turns brown".split()
 
 
