@@ -34,9 +34,9 @@ def test_parts_that_are_left_out():
     page = """<html><head><title>T</title><script>x("<p>no</p>")</script></head><body><header><p>Site header words here</p></header>
     <nav><a href=a>Menu</a></nav><div class="cookie-notice"><p>We use cookies on this site</p></div>
     <article><h1>Head &amp; tail</h1><p>First   line<br>goes on and on until it is a line of some length</p><div class="ad"><p>Buy this now please</p></div><p>Second &lt;line&gt; &eacute;</p>
-    <form><p>Sign up here</p><input></form><ul><li>point one</li><li>point two</li></ul><p>Third line is here as well</p></article>
+    <form><p>Sign up here</p><input></form><ul><li>point one</li><li>point two</li></ul><p>Third line is here as well and it has words enough to count</p></article>
     <section class="comments"><p>Reader says something long</p></section><aside><p>More to read</p></aside><footer><p>Imprint words</p></footer></body></html>"""
-    assert extract(page, RunWeights()) == "Head & tail\nFirst line goes on and on until it is a line of some length\nSecond <line> é\npoint one\npoint two\nThird line is here as well"
+    assert extract(page, RunWeights()) == "Head & tail\nFirst line goes on and on until it is a line of some length\nSecond <line> é\npoint one\npoint two\nThird line is here as well and it has words enough to count"
 
 
 def test_broken_pages():
