@@ -1,4 +1,4 @@
-"""Ordered scans over long series, and joins with small keyed lookups, without hot tasks.
+"""Ordered scans over long series, without hot tasks.
 
 A window partitioned by entity alone gives one task the whole history of a busy entity. Here
 a series is cut into blocks (a monotone function of its order, such as the day); neighbours
@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from convoy.settings import BROADCAST_ROWS
-
 
 def _slotted(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
     """Add the (keys, block) slot. As a struct it is never null itself, so no null filter is
@@ -120,23 +118,3 @@ def number_rows(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[
     """1-based position per ``keys``; ``order`` must be unique inside a key."""
     scanned = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, block, order, ["_one"])
     return scanned.select(*df.columns, F.col("_run__one").alias(name))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the frame is counted to be within ``BROADCAST_ROWS``."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str], broadcast: bool, salts: int = 16
-) -> DataFrame:
-    """Inner join of a long table with one row per key, even when one key is hot.
-
-    With ``broadcast`` (see ``fits_broadcast``) the lookup goes to every task. Otherwise the
-    long side is salted by a hash of ``spread`` and each lookup row is repeated per salt.
-    """
-    if broadcast:
-        return big.join(F.broadcast(small), list(on))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, ntz, slice_end
-from convoy.operators.blocks import fits_broadcast, lookup_join
 from convoy.operators.features import MEASURES, latest_per_entity, slice_aggregate
 from convoy.settings import MILES_PER_EPOCH, Clock
 
 # Limits of the reports.
 ONLINE_SECONDS = 10
 GREEN_MINUTES, RED_MINUTES = 5, 60
-CHART_MIN_ROWS, CHART_ROWS_PER_HOUR, CHART_SPARE_ROWS = 2000, 120, 500
 CHART_FORMAT = "yyyy-MM-dd HH:mm:ss"
 KEY_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -35,7 +33,7 @@ def fleet_status(entities: DataFrame, telemetry: DataFrame, markers: DataFrame,
         .withColumn("_broken", F.lit(True))
     )
     close = boundaries_crossed("SECOND", F.col("ts"), newest) <= ONLINE_SECONDS
-    status = F.when(F.col("_broken"), "OFFLINE").when(F.col("ts").isNull(), "OFFLINE").when(close, "ONLINE").otherwise("OFFLINE")
+    status = F.when(close & F.col("_broken").isNull(), "ONLINE").otherwise("OFFLINE")
     return (
         entities.select("entity_id")
         .distinct()
@@ -49,16 +47,10 @@ def fleet_status(entities: DataFrame, telemetry: DataFrame, markers: DataFrame,
 def prediction_freshness(predictions: DataFrame, telemetry: DataFrame, clock: Clock) -> DataFrame:
     """Age of each stored prediction against the newest recent reading, with its colour."""
     newest = recent_rows(telemetry, clock).select(F.max("ts")).scalar()
-    made = F.col("prediction_timestamp")
-    current = F.col("latest_telemetry_time")
-    behind = current >= made
-    minutes = boundaries_crossed("MINUTE", made, current)
-    colour = (
-        F.when(behind & (minutes <= GREEN_MINUTES), "green")
-        .when(behind & (minutes < RED_MINUTES), "orange")
-        .when(current < made, "green")
-        .otherwise("red")
-    )
+    # A prediction made after the newest reading is as fresh as can be.
+    age = F.greatest(boundaries_crossed("MINUTE", F.col("prediction_timestamp"), F.col("latest_telemetry_time")), F.lit(0))
+    known = F.col("latest_telemetry_time").isNotNull() & F.col("prediction_timestamp").isNotNull()
+    colour = F.when(known & (age < RED_MINUTES), F.when(age <= GREEN_MINUTES, "green").otherwise("orange")).otherwise("red")
     return (
         predictions.withColumn("latest_telemetry_time", newest)
         .select(
@@ -69,7 +61,7 @@ def prediction_freshness(predictions: DataFrame, telemetry: DataFrame, clock: Cl
             "ttf_model_used",
             "last_updated",
             "latest_telemetry_time",
-            F.when(behind, minutes).otherwise(0).cast("long").alias("age_minutes"),
+            F.when(known, age).otherwise(0).cast("long").alias("age_minutes"),
             colour.alias("age_color"),
             F.concat("entity_id", F.lit("_"), F.date_format("last_updated", KEY_FORMAT)).alias("prediction_key"),
         )
@@ -89,20 +81,13 @@ def fleet_counters(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
     return telemetry.agg(F.countDistinct("entity_id").alias("trucks")).withColumn("alerts", alerts)
 
 
-def chart_limit(hours: int) -> int:
-    return max(CHART_MIN_ROWS, hours * CHART_ROWS_PER_HOUR + CHART_SPARE_ROWS)
-
-
-def _chart_rows(slices: DataFrame, hours: int) -> DataFrame:
-    """The report's row limit; the earliest slices come first, entities break ties."""
-    return (
-        slices.orderBy("bucket_time", "entity_id")
-        .limit(chart_limit(hours))
-        .select(
-            F.date_format("bucket_time", CHART_FORMAT).alias("timestamp"),
-            "entity_id",
-            *[F.col(f"avg_{m}").alias(m) for m in MEASURES],
-        )
+def _chart_rows(slices: DataFrame, limit: int | None) -> DataFrame:
+    """The earliest slices first, entities break ties; with ``limit`` only so many rows."""
+    ordered = slices.orderBy("bucket_time", "entity_id")
+    return (ordered if limit is None else ordered.limit(limit)).select(
+        F.date_format("bucket_time", CHART_FORMAT).alias("timestamp"),
+        "entity_id",
+        *[F.col(f"avg_{m}").alias(m) for m in MEASURES],
     )
 
 
@@ -110,7 +95,7 @@ def _hours(hours: int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(hours))
 
 
-def chart_data(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> DataFrame:
+def chart_data(telemetry: DataFrame, hours: int, width_minutes: int = 5, limit: int | None = None) -> DataFrame:
     """Slice averages of the last ``hours``, counted back from the newest slice end.
 
     Whole slices are kept or left out: those that start no earlier than one width before the
@@ -120,13 +105,13 @@ def chart_data(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> Data
     newest = slice_end(F.max("ts"), width_minutes * 60)
     earliest = telemetry.select(newest - _hours(hours) - width).scalar()
     slices = slice_aggregate(telemetry.filter(F.col("ts") >= earliest), width_minutes)
-    return _chart_rows(slices.filter(F.col("bucket_time") - width >= earliest), hours)
+    return _chart_rows(slices.filter(F.col("bucket_time") - width >= earliest), limit)
 
 
-def chart_data_raw(telemetry: DataFrame, hours: int, width_minutes: int = 5) -> DataFrame:
+def chart_data_raw(telemetry: DataFrame, hours: int, width_minutes: int = 5, limit: int | None = None) -> DataFrame:
     """As ``chart_data`` but cut by point time, so the first slice may be partial."""
     bound = telemetry.select(F.max("ts") - _hours(hours)).scalar()
-    return _chart_rows(slice_aggregate(telemetry.filter(F.col("ts") >= bound), width_minutes), hours)
+    return _chart_rows(slice_aggregate(telemetry.filter(F.col("ts") >= bound), width_minutes), limit)
 
 
 def marker_listing(markers: DataFrame) -> DataFrame:
@@ -188,21 +173,18 @@ def leg_position(extents: DataFrame, markers: DataFrame | None, epoch: int) -> D
     )
 
 
-def nearest_mile(waypoints: DataFrame, targets: DataFrame, bound: DataFrame) -> DataFrame:
+def nearest_mile(waypoints: DataFrame, targets: DataFrame) -> DataFrame:
     """Per entity the waypoint nearest to ``target_miles``; ties go to the lowest epoch.
 
-    Each waypoint meets one target. The least gap is a plain hash aggregate over two columns;
-    only waypoints at that gap are compared as rows. ``bound`` is a cheap frame with at least
-    as many rows as ``targets``, counted to decide how the targets travel.
+    Each waypoint meets one target, by a plain join that is left to adaptive execution: it is
+    broadcast if small, and a hot entity's partition is split if not. The least gap is a hash
+    aggregate over two columns; only waypoints at that gap are compared as rows.
     """
-    broadcast = fits_broadcast(bound)
     wanted = targets.select("entity_id", "target_miles")
     gap = F.abs(F.col("miles_from_start") - F.col("target_miles"))
-    marks = waypoints.select("entity_id", "epoch", "miles_from_start")
-    least = (
-        lookup_join(marks, wanted, ["entity_id"], ["epoch"], broadcast).groupBy("entity_id").agg(F.min(gap).alias("_gap"))
-    )
-    at_least = lookup_join(waypoints, wanted.join(least, "entity_id"), ["entity_id"], ["epoch"], broadcast)
+    marks = waypoints.select("entity_id", "miles_from_start")
+    least = marks.join(wanted, "entity_id").groupBy("entity_id").agg(F.min(gap).alias("_gap"))
+    at_least = waypoints.join(wanted.join(least, "entity_id"), "entity_id")
     best = F.min(F.struct("epoch", "latitude", "longitude", "heading"))
     return at_least.filter(gap == F.col("_gap")).groupBy("entity_id").agg(best.alias("_w")).select("entity_id", "_w.*")
 
@@ -213,7 +195,7 @@ def truck_positions(
     """Position, heading, progress and prediction of every truck at ``epoch``."""
     described = routes.select("entity_id", "route_name", F.col("start_city").alias("_start"), F.col("end_city").alias("_end"))
     placed = leg_position(route_extent(waypoints), markers, epoch).join(described, "entity_id")
-    matched = nearest_mile(waypoints, placed, routes.select("entity_id"))
+    matched = nearest_mile(waypoints, placed)
     stored = predictions.select("entity_id", "predicted_failure_type", "predicted_hours_to_failure")
     returning = F.col("is_return_trip")
     share = F.col("miles_this_leg") / F.nullif("route_miles", F.lit(0.0))

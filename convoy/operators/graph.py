@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from convoy.settings import SPEED_MPH, staged
 PATH_SEPARATOR = ">"
 
 
-def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
     """Shortest route from every source to every node it can reach.
 
     ``adjacency`` (from_node, to_node, miles) with ``miles >= 0``; ``sources`` (node_id).
@@ -39,7 +41,7 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1
         ),
         "labels",
     )
-    for current in range(1, max_rounds + 1):
+    for current in count(1):  # ends with the first round that improves nothing
         frontier = labels.filter(F.col("round") == current - 1)
         if frontier.isEmpty():
             return labels.select(
@@ -70,7 +72,6 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 1
             .select("source", "target", "best.label", "best.round"),
             "labels",
         )
-    raise RuntimeError(f"shortest paths still improving after {max_rounds} rounds")
 
 
 def rejected_edges(adjacency: DataFrame) -> DataFrame:

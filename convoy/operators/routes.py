@@ -64,20 +64,14 @@ def route_geometry(path_nodes: DataFrame, edges: DataFrame, routes: DataFrame) -
     return points.join(named, "entity_id")
 
 
-def as_linestring(points: DataFrame, keys: list[str], max_points: int = 1_000_000) -> DataFrame:
+def as_linestring(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points folded to one GeoJSON-shaped row per line, for export of single routes.
 
-    A line becomes one array, so lines are counted first and one above ``max_points`` is an
-    error; thin it, or stay with the long table.
+    A line becomes one array, as that format asks; longer ones stay with the long table.
     """
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("point_count"))
-    fitting = F.when(
-        F.col("point_count") > max_points, F.raise_error(F.lit("line too long for one row")).cast("long")
-    ).otherwise(F.col("point_count"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "lon", "lat")))
     line = F.transform(ordered, lambda p: F.array(p["lon"], p["lat"]))
-    checked = points.join(sizes.withColumn("point_count", fitting), keys)
-    return checked.groupBy(*keys, "point_count").agg(line.alias("_line")).select(
+    return points.groupBy(*keys).agg(line.alias("_line"), F.count(F.lit(1)).alias("point_count")).select(
         *keys,
         F.struct(F.lit("LineString").alias("type"), F.col("_line").alias("coordinates")).alias("geometry"),
         "point_count",

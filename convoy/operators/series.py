@@ -10,6 +10,8 @@ from convoy.operators.features import MEASURES
 from convoy.settings import OVERRIDE_TYPES, Clock
 
 FALLBACK_TYPE = "ELECTRICAL"
+# Epochs of an override series that one join key stands for.
+STRETCH = 1024
 
 
 def _stamped(rows: DataFrame, clock: Clock, epoch: Column) -> DataFrame:
@@ -50,12 +52,12 @@ def series_step(
     return _stamped(normal, clock, at).unionByName(_stamped(failing, clock, at))
 
 
-def _spliced(config: DataFrame, overrides: DataFrame, first: Column, offset: Column, last: int, span: int) -> DataFrame:
+def _spliced(config: DataFrame, overrides: DataFrame, first: Column, offset: Column, last: int) -> DataFrame:
     """Override rows per entity for target epochs ``first``..``last``.
 
     ``offset`` turns an override epoch into a target epoch. The override epochs an entity
-    needs form one run of at most ``span``, so it meets them by (type, stretch of ``span``)
-    rather than with all rows of its type.
+    needs form one run, so it meets them by (type, stretch of ``STRETCH`` epochs) rather than
+    with all rows of its type; a long backfill has many such keys.
     """
     ranged = config.withColumn("_first", first).withColumn("_offset", offset).filter(F.col("_first") <= last)
     needed = ranged.select(
@@ -65,11 +67,11 @@ def _spliced(config: DataFrame, overrides: DataFrame, first: Column, offset: Col
         "_first",
         F.explode(
             F.sequence(
-                F.floor((F.col("_first") - F.col("_offset")) / span), F.floor((last - F.col("_offset")) / span)
+                F.floor((F.col("_first") - F.col("_offset")) / STRETCH), F.floor((last - F.col("_offset")) / STRETCH)
             )
         ).alias("_stretch"),
     )
-    rows = overrides.withColumn("_stretch", F.floor(F.col("epoch") / span))
+    rows = overrides.withColumn("_stretch", F.floor(F.col("epoch") / STRETCH))
     target = F.col("epoch") + F.col("_offset")
     return needed.join(rows, ["failure_type", "_stretch"]).filter(target.between(F.col("_first"), last)).withColumn(
         "_target", target
@@ -98,7 +100,7 @@ def series_backfill(
     )
     waiting = F.greatest(F.lit(0), effective - start)
     failing = _spliced(
-        typed, overrides, F.greatest(effective, F.lit(start)), clock.next_epoch - cursor + waiting, last, epochs
+        typed, overrides, F.greatest(effective, F.lit(start)), clock.next_epoch - cursor + waiting, last
     )
     return _stamped(normal, clock, F.col("epoch")).unionByName(_stamped(failing, clock, F.col("_target")))
 
@@ -130,7 +132,7 @@ def series_backfill_strict(
     cursor = F.coalesce("failure_next_epoch", F.lit(0))
     failing = (
         _spliced(
-            live.filter(F.col("failure_type").isin(OVERRIDE_TYPES)), overrides, first, first - cursor - 1, last, epochs
+            live.filter(F.col("failure_type").isin(OVERRIDE_TYPES)), overrides, first, first - cursor - 1, last
         )
         .join(broken, "entity_id", "left")
         .filter(alive | (F.col("_target") < F.col("_broken")))
@@ -139,19 +141,19 @@ def series_backfill_strict(
 
 
 def active_failures(config: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Progress of each enabled override through its series."""
-    sizes = overrides.groupBy("failure_type").agg(F.count(F.lit(1)).alias("max_epochs"))
-    position = F.col("failure_next_epoch")
+    """Progress of each enabled override of a known type through its series, which may be empty."""
+    sizes = overrides.groupBy("failure_type").agg(F.count(F.lit(1)).alias("_size"))
+    position, size = F.col("failure_next_epoch"), F.coalesce("_size", F.lit(0))
     return (
-        config.filter("enabled")
-        .join(sizes, "failure_type")
+        config.filter(F.col("enabled") & F.col("failure_type").isin(OVERRIDE_TYPES))
+        .join(sizes, "failure_type", "left")
         .select(
             "entity_id",
             "failure_type",
             "effective_from_epoch",
             position.alias("current_failure_epoch"),
-            "max_epochs",
-            F.when(position > F.col("max_epochs"), "OFFLINE").otherwise("ACTIVE").alias("status"),
+            size.alias("max_epochs"),
+            F.when(position > size, "OFFLINE").otherwise("ACTIVE").alias("status"),
         )
         .orderBy("entity_id")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import ntz, slice_start
+from convoy.operators.features import latest_per_entity
 from convoy.schemas import CLOCK
 from convoy.settings import BREAKDOWN_HOURS, RETENTION_HOURS, STEP_SECONDS
 
@@ -31,8 +32,12 @@ def _whole(epoch: int | Column) -> Column:
 
 
 def prediction_upsert(state: DataFrame, incoming: DataFrame, as_of: datetime | Column) -> DataFrame:
-    """Latest prediction per entity: matched rows overwritten, new ones added, others kept."""
-    source = incoming.select(F.col("entity_id").alias("_id"), F.struct(*PREDICTION_FIELDS).alias("_new"))
+    """Latest prediction per entity: matched rows overwritten, new ones added, others kept.
+
+    Of several incoming rows of one entity the newest counts.
+    """
+    newest = latest_per_entity(incoming.select("entity_id", *PREDICTION_FIELDS), "prediction_timestamp")
+    source = newest.select(F.col("entity_id").alias("_id"), F.struct(*PREDICTION_FIELDS).alias("_new"))
     arrived = F.col("_new").isNotNull()
     return state.join(source, F.col("entity_id") == F.col("_id"), "full_outer").select(
         F.coalesce("entity_id", "_id").alias("entity_id"),
@@ -103,8 +108,11 @@ def breakdown_projection(
 
 
 def config_upsert(config: DataFrame, activations: DataFrame, next_epoch: int) -> DataFrame:
-    """Switch on an override per activated entity from the next epoch; its cursor is kept."""
-    source = activations.select(F.col("entity_id").alias("_id"), F.upper("failure_type").alias("_type"))
+    """Switch on an override per activated entity from the next epoch; its cursor is kept.
+
+    An entity activated twice takes the type that sorts last.
+    """
+    source = activations.groupBy(F.col("entity_id").alias("_id")).agg(F.max(F.upper("failure_type")).alias("_type"))
     hit = F.col("_id").isNotNull()
     starting = F.lit(next_epoch + 1).cast("long")
     cursor = F.col("failure_next_epoch")

@@ -379,7 +379,7 @@ def detour_lookup(
         targets = leg_position(route_extent(waypoints), None, epoch).select("entity_id", "target_miles")
     else:
         targets = routes.select("entity_id", F.lit(epoch * MILES_PER_EPOCH).alias("target_miles"))
-    spots = nearest_mile(waypoints, targets, routes.select("entity_id"))
+    spots = nearest_mile(waypoints, targets)
     start = nearest_path_node(spots, path_nodes, nodes)
     return (
         start.select("entity_id", F.col("node_id").alias("from_node_id"))

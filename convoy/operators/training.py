@@ -18,6 +18,8 @@ from convoy.operators.scoring import BASIC_CLASSES, guarded_ttf
 from convoy.settings import CLASS_LABELS
 
 SPLIT_MODULUS = 1_000_003
+# Hash values in a range: some 62,500 ranges, so a stratum of any size spreads.
+RANGE = 16
 
 
 def _doubles(df: DataFrame, names: list[str]) -> DataFrame:
@@ -40,7 +42,7 @@ def stratified_split(df: DataFrame, stratum: str, order: Column, tie: list[str],
     ``order`` is an integer hash in [0, SPLIT_MODULUS). Ranks are taken per hash range and
     carried across ranges, so a stratum holding most rows is still spread over many tasks.
     """
-    keyed = df.withColumn("_order", order).withColumn("_range", F.floor(F.col("_order") / 4096))
+    keyed = df.withColumn("_order", order).withColumn("_range", F.floor(F.col("_order") / RANGE))
     ranked = number_rows(keyed, [stratum], "_range", ["_order", *tie], "_rank")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
     return ranked.join(sizes, ranked[stratum].eqNullSafe(sizes[stratum])).select(

@@ -511,10 +511,9 @@ def reconnect_best(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
     shared = _Stops(spark, sf, with_paths=True)
-    # Lines are stored one way and for drives of one road, so that a line is found directly,
-    # found turned round, or drawn over the nodes.
-    short = shared.paths.filter((F.col("source") < F.col("target")) & (F.size("path") <= 2))
-    stored = staged(graph.path_geometry(short, shared.edges), "geometry")
+    # Every drive has a stored line, but for those from the last nodes of the alphabet: their
+    # lines are the opposite drives turned round.
+    stored = staged(graph.path_geometry(shared.paths.filter(F.col("source") < p.LINES_BELOW), shared.edges), "geometry")
     pairs = staged(shared.reconnections().select("center_node", "reconnect_node").distinct(), "pairs")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
 

@@ -22,9 +22,6 @@ OVERRIDE_TYPES = ["ENGINE", "TRANSMISSION", "ELECTRICAL"]
 
 MILES_PER_EPOCH = SPEED_MPH * STEP_SECONDS / 3600
 
-# Most rows a lookup side may have before it is no longer broadcast.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Clock:

@@ -110,8 +110,7 @@ class PredictionStream:
     """Telemetry in; slice statistics, predictions and first-failure markers kept.
 
     Points are folded into slice statistics and not kept; features are recomputed from the
-    statistics, as lags and running sums reach behind any watermark. ``keep_hours`` bounds
-    that history.
+    statistics, as lags and running sums reach behind any watermark.
     """
 
     spark: SparkSession
@@ -119,7 +118,6 @@ class PredictionStream:
     clock: Clock
     score: Callable[[DataFrame], DataFrame]
     rule: FeatureRule = field(default_factory=FeatureRule)
-    keep_hours: int | None = None
     with_predictions: bool = True
     with_markers: bool = True
 
@@ -135,9 +133,6 @@ class PredictionStream:
     def _fold(self, batch: DataFrame, version: int) -> None:
         fresh = slice_stats(batch.select("entity_id", "ts", *MEASURES), self.rule.width_minutes)
         merged = merge_stats(self.stats.read(below=version), fresh)
-        if self.keep_hours is not None:
-            newest = merged.select(F.max("feature_timestamp")).scalar()
-            merged = merged.filter(F.col("feature_timestamp") >= newest - F.make_dt_interval(F.lit(0), F.lit(self.keep_hours)))
         self.stats.write(merged, version)
 
     def _step(self, batch: DataFrame, batch_id: int) -> None:

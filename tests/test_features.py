@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, slice_end, slice_start
-from convoy.operators.blocks import fits_broadcast, lookup_join, number_rows, running_sums, scan_blocks
+from convoy.operators.blocks import number_rows, running_sums, scan_blocks
 from convoy.operators.features import latest_features, latest_snapshot, slice_aggregate, temporal_features
 from convoy.streaming.stats import merge_stats, slice_stats, slices_of
 
@@ -167,16 +167,6 @@ def test_number_rows_per_key(spark):
     assert numbered.filter(F.col("n") == F.floor(F.col("id") / 3) + 1).count() == 1000
 
 
-@pytest.mark.parametrize("limit", [2, 3])
-def test_lookup_join_is_the_same_broadcast_or_salted(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr("convoy.operators.blocks.BROADCAST_ROWS", limit)
-    big = spark.range(500).selectExpr("CASE WHEN id < 400 THEN 'hot' ELSE 'cold' END AS k", "id")
-    small = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, v int")
-    assert fits_broadcast(small) == (limit == 3)
-    joined = lookup_join(big, small, ["k"], ["id"], fits_broadcast(small))
-    assert rows(joined.groupBy("k", "v").count()) == [("cold", 2, 100), ("hot", 1, 400)]
-
-
 def test_merged_statistics_equal_those_of_all_rows(spark, rows):
     data = random_readings(21, slices=15)
     whole = slices_of(slice_stats(readings(spark, data), 5))

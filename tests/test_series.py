@@ -119,3 +119,9 @@ def test_active_failures(spark, overrides, rows):
     )
     found = rows(series.active_failures(config, overrides), "entity_id", "max_epochs", "status")
     assert found == [("a", 8, "ACTIVE"), ("b", 8, "OFFLINE"), ("c", 8, "ACTIVE")]
+
+
+def test_an_override_without_a_series_is_listed(spark, overrides, rows):
+    config = configs(spark, [("a", "ENGINE", True, 1, 0), ("b", "ENGINE", True, 1, 2)])
+    found = rows(series.active_failures(config, overrides.limit(0)), "entity_id", "max_epochs", "status")
+    assert found == [("a", 0, "ACTIVE"), ("b", 0, "OFFLINE")]

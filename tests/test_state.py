@@ -163,7 +163,26 @@ def test_chart_drops_partial_slices_only_in_the_raw_variant(spark, at, rows):
     late = telemetry(spark, [("a", at(1, 0, 10)), ("a", at(1, 2)), ("a", at(2, 1))])
     raw = fleet.chart_data_raw(late.withColumn("engine_temp", F.minute("ts").cast("double")), 1).orderBy("timestamp").first()
     assert (raw.timestamp, raw.engine_temp) == ("2024-05-01 01:05:00", 2.0)
-    assert fleet.chart_limit(6) == 2000 and fleet.chart_limit(48) == 48 * 120 + 500
+
+
+def test_chart_keeps_every_slice_unless_told_otherwise(spark, at):
+    hours = spark.range(30_000).selectExpr(
+        "concat('T', id % 1000) AS entity_id", "timestamp_ntz '2024-05-01 00:00:00' + make_dt_interval(0, id div 1000) AS ts",
+        "1.0D AS engine_temp", "1.0D AS trans_oil_pressure", "1.0D AS battery_voltage")
+    assert fleet.chart_data(hours, 48).count() == 30_000
+    first = fleet.chart_data(hours, 48, limit=2).collect()
+    assert [(r.timestamp, r.entity_id) for r in first] == [("2024-05-01 00:05:00", "T0"), ("2024-05-01 00:05:00", "T1")]
+
+
+def test_newest_of_several_incoming_rows_counts(spark, at, rows):
+    stored = predictions(spark, at, [("a", "NORMAL", None)])
+    early = stored.withColumn("predicted_failure_type", F.lit("ENGINE_FAILURE"))
+    late = early.withColumn("prediction_timestamp", F.col("prediction_timestamp") + F.expr("INTERVAL 1 HOUR")).withColumn("predicted_failure_type", F.lit("ELECTRICAL_FAILURE"))
+    found = state.prediction_upsert(stored, early.unionByName(late).unionByName(early), NOW)
+    assert rows(found, "entity_id", "predicted_failure_type") == [("a", "ELECTRICAL_FAILURE")]
+    twice = spark.createDataFrame([("a", "engine"), ("a", "transmission")], "entity_id string, failure_type string")
+    config = spark.createDataFrame([], "entity_id string, failure_type string, enabled boolean, effective_from_epoch long, failure_next_epoch long")
+    assert rows(state.config_upsert(config, twice, 5), "entity_id", "failure_type") == [("a", "TRANSMISSION")]
 
 
 def test_counters_and_listing(spark, at, rows):

@@ -100,11 +100,3 @@ def test_prediction_stream_equals_batch_and_survives_replay(spark, tmp_path, fee
     before = rows(done.stats.read()), rows(done.markers.read())
     done._step(spark.createDataFrame(later, SCHEMA), 1)
     assert (rows(done.stats.read()), rows(done.markers.read())) == before
-
-
-def test_kept_history_is_bounded(spark, tmp_path, feed, rows):
-    stream = jobs.PredictionStream(
-        spark, str(tmp_path / "work"), Clock(START, 0), scoring.score_rules, RULE, keep_hours=1, with_predictions=False
-    )
-    stream.run(feed([reading("a", m) for m in (0, 1, 30, 31, 89, 90)]))
-    assert rows(stream.stats.read(), "feature_timestamp") == [(START + timedelta(minutes=m),) for m in (31, 89, 90)]
