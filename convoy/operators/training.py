@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.functions.numeric import any_missing
 from convoy.operators.blocks import number_rows
 from convoy.operators.features import BASIC_FEATURES, TEMPORAL_FEATURES
-from convoy.operators.scoring import BASIC_CLASSES, guarded_ttf
+from convoy.operators.scoring import BASIC_CLASSES, TTF_HIGH, guarded_ttf
 from convoy.settings import CLASS_LABELS
 
 SPLIT_MODULUS = 1_000_003
@@ -55,74 +54,95 @@ def entity_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
     return df.withColumn("is_train", F.pmod(F.xxhash64("entity_id"), F.lit(1000)) < int(fraction * 1000))
 
 
+def plain_split(df: DataFrame, order: Column, tie: list[str], fraction: float = 0.8) -> DataFrame:
+    """Add ``is_train``: exactly the first ``fraction`` of all rows in hash order."""
+    return stratified_split(df.withColumn("_all", F.lit(0)), "_all", order, tie, fraction).drop("_all")
+
+
+def _write_facts(path: str, **facts: list[str]) -> None:
+    """What a stored model needs to be used rightly, as one JSON row beside it."""
+    SparkSession.active().createDataFrame([tuple(facts.values())], ", ".join(f"{k} array<string>" for k in facts)).write.mode("overwrite").json(f"{path}/facts")
+
+
+def _read_facts(path: str, *names: str) -> tuple[list[str], ...]:
+    row = SparkSession.active().read.schema(", ".join(f"{n} array<string>" for n in names)).json(f"{path}/facts").first()
+    return tuple(list(row[n]) for n in names)
+
+
 @dataclass
 class FailureClassifier:
-    """One boosted model per class; the class with the largest margin wins."""
+    """A forest over the basic features; ``labels`` names its classes by number.
 
-    models: dict[str, GBTClassificationModel]
+    Without any training row there is no forest, and every row counts as the first label.
+    """
+
+    model: RandomForestClassificationModel | None
+    labels: list[str]
+    features: list[str]
 
     def classify(self, df: DataFrame) -> DataFrame:
-        scored = _assembled(df, BASIC_FEATURES)
-        margins = []
-        for i, label in enumerate(self.models):
-            model = self.models[label].copy().setFeaturesCol("_vector")
-            model.setRawPredictionCol(f"_raw{i}").setProbabilityCol("").setPredictionCol("")
-            scored = model.transform(scored)
-            margins.append(vector_to_array(f"_raw{i}")[1])
-        top = F.greatest(*margins)
-        winner = F.lit(None).cast("string")
-        for label, margin in reversed(list(zip(self.models, margins))):
-            winner = F.when(margin == top, label).otherwise(winner)
-        kind = F.when(any_missing(BASIC_FEATURES), "NORMAL").otherwise(winner)
         kept = [c for c in df.columns if c != "predicted_failure_type"]
+        if self.model is None:
+            return df.select(*kept, F.lit(self.labels[0]).alias("predicted_failure_type"))
+        model = self.model.copy().setFeaturesCol("_vector").setRawPredictionCol("").setProbabilityCol("").setPredictionCol("_class")
+        scored = model.transform(_assembled(df, self.features))
+        names = F.array(*[F.lit(label) for label in self.labels])
+        kind = F.when(any_missing(self.features), "NORMAL").otherwise(names[F.col("_class").cast("int")])
         return scored.select(*kept, kind.alias("predicted_failure_type"))
 
     def save(self, path: str) -> None:
-        for label, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{label}")
+        self.model.write().overwrite().save(f"{path}/model")
+        _write_facts(path, labels=self.labels, features=self.features)
 
     @classmethod
-    def load(cls, path: str, labels: list[str] = CLASS_LABELS) -> FailureClassifier:
-        return cls({label: GBTClassificationModel.load(f"{path}/{label}") for label in labels})
+    def load(cls, path: str) -> FailureClassifier:
+        labels, features = _read_facts(path, "labels", "features")
+        return cls(RandomForestClassificationModel.load(f"{path}/model"), labels, features)
 
 
 @dataclass
 class TtfModel:
-    """Boosted regression of hours to failure over a fixed feature list."""
+    """Boosted regression of hours to failure; without any training row the estimate is the upper bound."""
 
-    model: GBTRegressionModel
+    model: GBTRegressionModel | None
     features: list[str]
 
     def estimate(self, df: DataFrame) -> DataFrame:
-        scored = self.model.copy().setFeaturesCol("_vector").setPredictionCol("_ttf").transform(_assembled(df, self.features))
-        ttf = guarded_ttf(F.col("_ttf"), self.features)
-        return scored.select(*df.columns, ttf.alias("predicted_ttf"))
+        if self.model is None:
+            raw, scored = F.lit(TTF_HIGH), df
+        else:
+            raw = F.col("_ttf")
+            scored = self.model.copy().setFeaturesCol("_vector").setPredictionCol("_ttf").transform(_assembled(df, self.features))
+        return scored.select(*df.columns, guarded_ttf(raw, self.features).alias("predicted_ttf"))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        self.model.write().overwrite().save(f"{path}/model")
+        _write_facts(path, features=self.features)
 
     @classmethod
-    def load(cls, path: str, features: list[str]) -> TtfModel:
-        return cls(GBTRegressionModel.load(path), features)
-
-
-def train_classifier(train: DataFrame, rounds: int = 100, depth: int = 6, rate: float = 0.1) -> FailureClassifier:
-    vectors = _assembled(_filled(train, BASIC_FEATURES), BASIC_FEATURES).select("_vector", "failure_type")
-    learner = GBTClassifier(featuresCol="_vector", labelCol="_label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42)
-    return FailureClassifier(
-        {
-            label: learner.fit(vectors.withColumn("_label", (F.col("failure_type") == label).cast("double")))
-            for label in CLASS_LABELS
-        }
-    )
+    def load(cls, path: str) -> TtfModel:
+        (features,) = _read_facts(path, "features")
+        return cls(GBTRegressionModel.load(f"{path}/model"), features)
+
+
+def train_classifier(train: DataFrame, trees: int = 100, depth: int = 6, labels: list[str] = CLASS_LABELS) -> FailureClassifier:
+    """One forest for all classes; rows of other labels are left out."""
+    number = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("failure_type")) - 1
+    rows = _filled(train, BASIC_FEATURES).withColumn("_label", number.cast("double")).filter("_label >= 0")
+    if rows.isEmpty():
+        return FailureClassifier(None, list(labels), list(BASIC_FEATURES))
+    learner = RandomForestClassifier(featuresCol="_vector", labelCol="_label", numTrees=trees, maxDepth=depth, seed=42)
+    return FailureClassifier(learner.fit(_assembled(rows, BASIC_FEATURES).select("_vector", "_label")), list(labels), list(BASIC_FEATURES))
 
 
 def _train_ttf(train: DataFrame, features: list[str], rounds: int, depth: int, rate: float) -> TtfModel:
     ready = _assembled(_filled(train, features), features).select(
         "_vector", F.coalesce("time_to_failure", F.lit(0.0)).alias("_label")
     )
+    if ready.isEmpty():
+        return TtfModel(None, list(features))
     learner = GBTRegressor(featuresCol="_vector", labelCol="_label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42)
-    return TtfModel(learner.fit(ready), features)
+    return TtfModel(learner.fit(ready), list(features))
 
 
 def train_ttf_basic(train: DataFrame, rounds: int = 100, depth: int = 5, rate: float = 0.1) -> TtfModel:

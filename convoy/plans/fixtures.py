@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoy.functions.timeslice import epoch_seconds
 from convoy.operators.blocks import balanced_width, running_sums
-from convoy.plans.parameters import FLEET_SIZE, SERIES_EPOCH
+from convoy.plans.parameters import FLEET_SIZE, SERIES_EPOCH, STRETCH_SLICES, WIDTH_MINUTES
+from convoy.settings import CLASS_LABELS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,18 +51,25 @@ def telemetry(spark: SparkSession, sf_dir: str, fleet_size: int | None = FLEET_S
 
 
 def training(spark: SparkSession, sf_dir: str, fleet_size: int | None = FLEET_SIZE) -> DataFrame:
-    kind = F.col("event_type")
+    """Readings of trucks that fail in stretches: the class of a truck and stretch, and its mark.
+
+    Engines run hot, transmissions lose pressure upwards, batteries swing. In every fifth
+    stretch a quarter of the readings belong to the next class, so some slices are mixed.
+    """
+    n = truck_number()
+    stretch = F.floor(epoch_seconds(F.col("ts")) / (WIDTH_MINUTES * 60 * STRETCH_SLICES))
+    mixed = (F.pmod(stretch * 7 + n, F.lit(5)) == 0) & (F.pmod("event_id", F.lit(4)) == 0)
+    index = F.pmod(stretch * 5 + n * 3 + mixed.cast("long"), F.lit(4))
+    labels = F.array(*[F.lit(label) for label in CLASS_LABELS])
     return (
         with_measures(table(spark, sf_dir, "events"), fleet_size)
-        .withColumn(
-            "failure_type",
-            F.when(kind == "purchase", "ENGINE_FAILURE")
-            .when(kind == "signup", "TRANSMISSION_FAILURE")
-            .when(kind == "error", "ELECTRICAL_FAILURE")
-            .otherwise("NORMAL"),
-        )
-        .withColumn("time_to_failure", F.pmod("event_id", F.lit(240)) / 10.0)
-        .drop("event_id", "event_type")
+        .withColumn("_class", index.cast("int"))
+        .withColumn("engine_temp", F.col("engine_temp") + F.when(F.col("_class") == 1, 150.0).otherwise(0.0))
+        .withColumn("trans_oil_pressure", F.col("trans_oil_pressure") + F.when(F.col("_class") == 2, 120.0).otherwise(0.0))
+        .withColumn("battery_voltage", 11 + (F.col("battery_voltage") - 11) * F.when(F.col("_class") == 3, 4.0).otherwise(1.0))
+        .withColumn("failure_type", labels[F.col("_class")])
+        .withColumn("time_to_failure", 2.0 + F.floor(F.col("engine_temp") / 20) + F.floor(F.col("trans_oil_pressure") / 25))
+        .drop("event_id", "event_type", "_class")
     )
 
 

@@ -12,8 +12,8 @@ FLEET_SIZE = 10
 # Slices wide enough for the sparse test events to fill; blocks short enough to be crossed.
 WIDTH_MINUTES = 720
 MIN_RECORDS = 12
-# Models learn from sparser slices too, so that the smallest data set has some of each class.
-TRAIN_RECORDS = 3
+# Slices in a row for which a truck of the training data has one class.
+STRETCH_SLICES = 3
 ELEVATED = 0.87
 BLOCK_SLICES = 8
 

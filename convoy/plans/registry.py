@@ -14,7 +14,7 @@ from convoy.operators import fleet, graph, routes, scoring, series, state, stops
 from convoy.plans import fixtures as fx
 from convoy.plans import parameters as p
 from convoy.schemas import MARKERS, PREDICTIONS
-from convoy.settings import scratch_path, staged
+from convoy.settings import CLASS_LABELS, scratch_path, staged
 from convoy.sources.csv import read_csv
 from convoy.sources.records import json_records as to_records
 from convoy.sources.store import StateTable
@@ -23,9 +23,6 @@ from convoy.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Boosting rounds of the registered training queries; the operators default to full size.
-ROUNDS, DEPTH = 3, 3
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -158,54 +155,70 @@ def prediction_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.prediction_distribution(_predictions(fx.telemetry(spark, sf)))
 
 
-def _split(
-    spark: SparkSession,
-    sf: str,
-    label: str = "max",
-    min_records: int = p.MIN_RECORDS,
-    fleet_size: int | None = p.FLEET_SIZE,
-) -> DataFrame:
-    order = F.pmod(
-        epoch_seconds(F.col("feature_timestamp")) * 7919 + fx.truck_number() * 104729, F.lit(training.SPLIT_MODULUS)
-    )
-    labelled = staged(_features(fx.training(spark, sf, fleet_size), label, min_records), "training")
-    return training.stratified_split(labelled, "failure_type", order, ["entity_id", "feature_timestamp"])
+def _order() -> Column:
+    return F.pmod(epoch_seconds(F.col("feature_timestamp")) * 7919 + fx.truck_number() * 104729, F.lit(training.SPLIT_MODULUS))
+
+
+TIE = ["entity_id", "feature_timestamp"]
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(_features(fx.training(spark, sf), label="max"), "training")
 
 
 @query
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf).select("entity_id", "feature_timestamp", "failure_type", "is_train")
+    split = training.stratified_split(_labelled(spark, sf), "failure_type", _order(), TIE)
+    return split.select("entity_id", "feature_timestamp", "failure_type", "is_train")
 
 
-def _train_test(
-    spark: SparkSession, sf: str, label: str = "max", fleet_size: int | None = p.FLEET_SIZE
-) -> tuple[DataFrame, DataFrame]:
-    """Both parts of the split, read from a staged table: fitting passes over them many times."""
-    split = staged(_split(spark, sf, label, p.TRAIN_RECORDS, fleet_size), "split")
-    return split.filter("is_train").drop("is_train"), split.filter("NOT is_train").drop("is_train")
+def _parts(split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both parts of a split, read from a staged table: fitting passes over them many times."""
+    kept = staged(split, "split")
+    return kept.filter("is_train").drop("is_train"), kept.filter("NOT is_train").drop("is_train")
 
 
 @query
 def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _train_test(spark, sf)
-    guessed = training.train_classifier(train, ROUNDS, DEPTH).classify(test)
-    return training.classification_report(guessed, "failure_type", "predicted_failure_type")
+    """Rows per class on both sides, rows classified, and whether it beats the commonest class."""
+    train, test = _parts(training.stratified_split(_labelled(spark, sf), "failure_type", _order(), TIE))
+    guessed = staged(training.train_classifier(train).classify(test), "classified")
+    sides = (
+        train.select("failure_type", F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))
+        .unionByName(guessed.select("failure_type", F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("predicted_failure_type").isin(CLASS_LABELS).cast("int").alias("c")))
+        .groupBy("failure_type")
+        .agg(F.sum("a").alias("train_rows"), F.sum("b").alias("test_rows"), F.sum("c").alias("classified"))
+    )
+    right = guessed.agg(F.avg((F.col("failure_type") == F.col("predicted_failure_type")).cast("double"))).scalar()
+    common = guessed.groupBy("failure_type").count().agg(F.max("count") / F.sum("count")).scalar()
+    return sides.withColumn("beats_constant", right > common)
+
+
+def _regression(train: DataFrame, test: DataFrame, model: training.TtfModel) -> DataFrame:
+    """Rows on both sides, estimates within the bounds, and whether it beats the mean of the training rows."""
+    mean = train.agg(F.avg("time_to_failure")).scalar()
+    error = F.abs(F.col("time_to_failure") - F.col("predicted_ttf"))
+    bounds = F.col("predicted_ttf").between(scoring.TTF_LOW, scoring.TTF_HIGH)
+    judged = staged(model.estimate(test), "estimated").agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.sum(bounds.cast("long")).alias("in_bounds"),
+        (F.avg(error) < F.avg(F.abs(F.col("time_to_failure") - mean))).alias("beats_constant"),
+    )
+    return judged.select(train.select(F.count(F.lit(1))).scalar().alias("train_rows"), "*")
 
 
 @query
 def train_ttf_basic(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _train_test(spark, sf)
-    rows = test.filter(F.col("failure_type").isin(scoring.BASIC_CLASSES))
-    return training.regression_mae(training.train_ttf_basic(train, ROUNDS, DEPTH).estimate(rows), "time_to_failure", "predicted_ttf")
+    rows = _labelled(spark, sf).filter(F.col("failure_type").isin(scoring.BASIC_CLASSES))
+    train, test = _parts(training.plain_split(rows, _order(), TIE))
+    return _regression(train, test, training.train_ttf_basic(train))
 
 
 @query
 def train_ttf_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    # The lexicographic maximum leaves no electrical slice among mixed ones, and ten trucks
-    # mix too much for one to prevail: every user is a truck here.
-    train, test = _train_test(spark, sf, "mode", fleet_size=None)
-    rows = test.filter(F.col("failure_type") == "ELECTRICAL_FAILURE")
-    return training.regression_mae(training.train_ttf_temporal(train, ROUNDS, DEPTH).estimate(rows), "time_to_failure", "predicted_ttf")
+    rows = _labelled(spark, sf).filter(F.col("failure_type") == "ELECTRICAL_FAILURE")
+    train, test = _parts(training.plain_split(rows, _order(), TIE))
+    return _regression(train, test, training.train_ttf_temporal(train))
 
 
 def _ruled(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,13 +229,20 @@ def _ruled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    train, _ = _train_test(spark, sf)
-    ruled = train.withColumn("failure_type", scoring.rule_class())
-    classifier = training.train_classifier(ruled, ROUNDS, DEPTH)
-    basic = training.train_ttf_basic(ruled, ROUNDS, DEPTH)
-    temporal = training.train_ttf_temporal(ruled, ROUNDS, DEPTH)
-    features = _features(fx.telemetry(spark, sf), min_records=p.TRAIN_RECORDS)
-    return scoring.score_hybrid(ft.latest_features(features), classifier, basic, temporal)
+    """The newest features through models trained on labels: who was scored, by the right model, within bounds."""
+    labelled = _labelled(spark, sf)
+    models = training.train_classifier(labelled), training.train_ttf_basic(labelled), training.train_ttf_temporal(labelled)
+    scored = scoring.score_hybrid(ft.latest_features(_features(fx.telemetry(spark, sf))), *models)
+    kind, hours, used = F.col("predicted_failure_type"), F.col("predicted_hours_to_failure"), F.col("ttf_model_used")
+    wanted = F.when(kind == "ELECTRICAL_FAILURE", scoring.TEMPORAL_MODEL).when(kind == "NORMAL", scoring.NO_MODEL).otherwise(scoring.BASIC_MODEL)
+    return scored.select(
+        "entity_id",
+        "prediction_timestamp",
+        *[F.round(c, 6).alias(c) for c in ("current_engine_temp", "current_trans_pressure", "current_battery_voltage")],
+        kind.isin(CLASS_LABELS).alias("classified"),
+        (used == wanted).alias("routed"),
+        F.when(kind == "NORMAL", hours.isNull()).otherwise(hours.between(scoring.TTF_LOW, scoring.TTF_HIGH)).alias("in_bounds"),
+    )
 
 
 @query

@@ -27,7 +27,7 @@ def labelled(spark):
 @pytest.fixture(scope="module")
 def models(labelled):
     return (
-        training.train_classifier(labelled, rounds=2, depth=2),
+        training.train_classifier(labelled, trees=5, depth=3),
         training.train_ttf_basic(labelled, rounds=2, depth=2),
         training.train_ttf_temporal(labelled, rounds=2, depth=2),
     )
@@ -39,6 +39,7 @@ def test_classifier_learns_and_survives_storage(spark, tmp_path, labelled, model
     assert report.filter("label = 'accuracy'").first().f1_score > 0.95
     classifier.save(str(tmp_path / "classes"))
     loaded = training.FailureClassifier.load(str(tmp_path / "classes"))
+    assert loaded.labels == CLASS_LABELS and loaded.features == BASIC_FEATURES
     picked = ["id", "predicted_failure_type"]
     assert rows(loaded.classify(labelled), *picked) == rows(classifier.classify(labelled), *picked)
 
@@ -59,7 +60,8 @@ def test_hours_are_clamped_and_stored(spark, tmp_path, labelled, models, rows):
     assert {r.predicted_ttf for r in high.estimate(labelled).collect()} == {24.0}
     assert {r.predicted_ttf for r in low.estimate(labelled).collect()} == {0.1}
     basic.save(str(tmp_path / "ttf"))
-    loaded = training.TtfModel.load(str(tmp_path / "ttf"), BASIC_FEATURES)
+    loaded = training.TtfModel.load(str(tmp_path / "ttf"))
+    assert loaded.features == BASIC_FEATURES
     assert rows(loaded.estimate(labelled), "id", "predicted_ttf") == rows(basic.estimate(labelled), "id", "predicted_ttf")
 
 
@@ -96,3 +98,23 @@ def test_report_matches_hand_counts(spark):
 def test_mae_skips_unknown_pairs(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (None, 1.0)], "label double, prediction double")
     assert tuple(training.regression_mae(df).first()) == (1.5, 2)
+
+
+def test_probes_of_constant_vectors(spark, labelled, models):
+    """A vector of zeros and one of large values get a class and hours within the bounds."""
+    classifier, basic, temporal = models
+    rows = [("p", float(v), *[float(v)] * len(TEMPORAL_FEATURES)) for v in (0, 100)]
+    probes = spark.createDataFrame(rows, "entity_id string, v double, " + ", ".join(f"{n} double" for n in TEMPORAL_FEATURES))
+    assert all(r.predicted_failure_type in CLASS_LABELS for r in classifier.classify(probes).collect())
+    assert all(0.1 <= r.predicted_ttf <= 24 for m in (basic, temporal) for r in m.estimate(probes).collect())
+
+
+def test_models_without_rows(labelled):
+    none = labelled.limit(0)
+    assert {r.predicted_failure_type for r in training.train_classifier(none).classify(labelled).collect()} == {"NORMAL"}
+    assert {r.predicted_ttf for r in training.train_ttf_basic(none).estimate(labelled).collect()} == {24.0}
+
+
+def test_plain_split_is_exact(labelled):
+    split = training.plain_split(labelled, F.pmod(F.col("id") * 7919, F.lit(training.SPLIT_MODULUS)), ["id"])
+    assert split.columns == [*labelled.columns, "is_train"] and split.filter("is_train").count() == 192
