@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import epoch_seconds
 from convoy.operators.blocks import scan_blocks
+from convoy.settings import CLASS_LABELS
 
 MEASURES = ["engine_temp", "trans_oil_pressure", "battery_voltage"]
 
@@ -68,15 +69,23 @@ def feature_slices(telemetry: DataFrame, width_minutes: int = 5, label: str | No
     """Averages, sample deviations and row count per entity and slice, sparse slices included.
 
     Points are reduced by partial aggregation before any shuffle. ``label`` is as for
-    ``temporal_features``.
+    ``temporal_features``. Labels are aggregated as numbers in their alphabetical order, since
+    text could only be aggregated after a sort of all points.
     """
-    pick = {"max": F.max, "mode": lambda c: F.mode(c, deterministic=True)}
-    labels = (
-        [pick[label]("failure_type").alias("failure_type"), F.avg("time_to_failure").alias("time_to_failure")]
-        if label
-        else []
-    )
-    return (
+    names = sorted(CLASS_LABELS)
+    listed = F.array(*[F.lit(n) for n in names])
+    number = F.nullif(F.array_position(listed, F.col("failure_type")), F.lit(0))
+    labels, failure_type = [], None
+    if label == "max":
+        labels = [F.max(number).alias("_label")]
+        failure_type = listed[(F.col("_label") - 1).cast("int")]
+    elif label == "mode":
+        labels = [F.count(F.when(number == i + 1, 1)).alias(f"_label{i}") for i in range(len(names))]
+        counts = F.array(*[f"_label{i}" for i in range(len(names))])
+        failure_type = F.when(F.array_max(counts) > 0, listed[(F.array_position(counts, F.array_max(counts)) - 1).cast("int")])
+    if label:
+        labels.append(F.avg("time_to_failure").alias("time_to_failure"))
+    slices = (
         telemetry.groupBy("entity_id", F.window("ts", f"{width_minutes} minutes").alias("slice"))
         .agg(
             F.max("ts").alias("feature_timestamp"),
@@ -88,6 +97,9 @@ def feature_slices(telemetry: DataFrame, width_minutes: int = 5, label: str | No
         .withColumn("slice_start", F.col("slice.start"))
         .drop("slice")
     )
+    if label is None:
+        return slices
+    return slices.withColumn("failure_type", failure_type).drop(*[c for c in slices.columns if c.startswith("_label")])
 
 
 def temporal_features(
@@ -103,7 +115,7 @@ def temporal_features(
 
     ``label`` adds the slice's ``failure_type`` and mean ``time_to_failure``: "max" takes the
     lexicographic maximum (a slice mixing NORMAL and ENGINE_FAILURE counts as NORMAL), "mode"
-    the most frequent type.
+    the most frequent type, of several the first. Types outside ``CLASS_LABELS`` do not count.
     """
     slices = feature_slices(telemetry, width_minutes, label)
     return features_of_slices(slices, width_minutes, min_records, elevated_threshold, slope_minutes, block_slices)
@@ -175,6 +187,14 @@ def latest_per_entity(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
+def newest_points(telemetry: DataFrame, ts: str = "ts") -> DataFrame:
+    """As ``latest_per_entity``, for raw points: the newest time is a hash aggregate over two
+    columns, and only the points at that time are compared as rows."""
+    newest = telemetry.groupBy("entity_id").agg(F.max(ts).alias("_newest"))
+    at = telemetry.join(newest.withColumnRenamed("entity_id", "_id"), F.col("entity_id").eqNullSafe(F.col("_id")) & (F.col(ts) == F.col("_newest")))
+    return latest_per_entity(at.select(*telemetry.columns), ts)
+
+
 def latest_features(features: DataFrame) -> DataFrame:
     """One row per entity, the newest, with its time named ``prediction_timestamp``."""
     return latest_per_entity(features, "feature_timestamp").withColumnRenamed("feature_timestamp", "prediction_timestamp")

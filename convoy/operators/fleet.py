@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, ntz, slice_end
-from convoy.operators.features import MEASURES, latest_per_entity, slice_aggregate
+from convoy.operators.features import MEASURES, newest_points, slice_aggregate
 from convoy.settings import MILES_PER_EPOCH, Clock
 
 # Limits of the reports.
@@ -25,7 +25,7 @@ def fleet_status(entities: DataFrame, telemetry: DataFrame, markers: DataFrame,
     """Every entity with its newest recent reading; ONLINE within 10 seconds of the fleet's newest."""
     recent = recent_rows(telemetry, clock)
     newest = recent.select(F.max("ts")).scalar()
-    latest = latest_per_entity(recent.select("entity_id", "ts", *MEASURES), "ts")
+    latest = newest_points(recent.select("entity_id", "ts", *MEASURES))
     broken = (
         markers.filter(F.col("breakdown_epoch") <= clock.next_epoch)
         .select("entity_id")
