@@ -17,8 +17,8 @@ STRETCH_SLICES = 3
 ELEVATED = 0.87
 BLOCK_SLICES = 8
 
-# State is built up to the cut first and then brought up to date.
-CUT = datetime(2024, 1, 20)
+# State is built up to the cut, in the middle of a slice, and then brought up to date.
+CUT = datetime(2024, 1, 20, 5, 17)
 
 SERIES_EPOCH = 100
 BACKFILL_EPOCHS = 200
