@@ -325,16 +325,18 @@ def service_recommendation(ranking: DataFrame) -> DataFrame:
     )
 
 
-def reconnect_geometry(pairs: DataFrame, paths: DataFrame, geometry: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Road points from a center node back to the route, one row per point.
+def drive_geometry(pairs: DataFrame, paths: DataFrame, geometry: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Road points of the drive between two nodes, one row per point.
 
-    ``pairs``: center_node, reconnect_node. Uses the stored line of that drive, else the
-    stored line of the opposite drive turned round, else straight lines over the path nodes.
+    ``pairs``: from_node_id, to_node_id. Uses the stored line of that drive, else the stored
+    line of the opposite drive turned round, else straight lines over the path nodes. A drive
+    that goes nowhere has no points.
     """
-    keys = ["center_node", "reconnect_node"]
-    sizes = geometry.groupBy("from_node_id", "to_node_id").agg(F.count(F.lit(1)).alias("_n"))
-    forward = sizes.select(F.col("from_node_id").alias("center_node"), F.col("to_node_id").alias("reconnect_node"), F.lit(True).alias("_fwd"))
-    reverse = sizes.select(F.col("to_node_id").alias("center_node"), F.col("from_node_id").alias("reconnect_node"), F.col("_n").alias("_rev"))
+    keys = ["from_node_id", "to_node_id"]
+    sizes = geometry.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    forward = sizes.select(*keys, F.lit(True).alias("_fwd"))
+    turned = {"from_node_id": "to_node_id", "to_node_id": "from_node_id"}
+    reverse = sizes.select(*[F.col(turned[k]).alias(k) for k in keys], F.col("_n").alias("_rev"))
     kind = F.when(F.col("_fwd"), "FORWARD").when(F.col("_rev").isNotNull(), "REVERSED").otherwise("NODES")
     sourced = (
         pairs.select(*keys)
@@ -343,24 +345,46 @@ def reconnect_geometry(pairs: DataFrame, paths: DataFrame, geometry: DataFrame,
         .join(reverse, keys, "left")
         .select(*keys, kind.alias("kind"), "_rev")
     )
-    line = geometry.select("from_node_id", "to_node_id", "pos", "lon", "lat")
+    line = geometry.select(*keys, "pos", "lon", "lat")
     straight = (
         sourced.filter(F.col("kind") == "NODES")
-        .join(paths.select(F.col("source").alias("center_node"), F.col("target").alias("reconnect_node"), "path"), keys)
+        .join(paths.select(F.col("source").alias("from_node_id"), F.col("target").alias("to_node_id"), "path"), keys)
         .filter(F.size("path") > 1)
         .select(*keys, "kind", F.posexplode("path").alias("pos", "node_id"))
         .join(nodes.select("node_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), "node_id")
         .select(*keys, "kind", F.col("pos").cast("long").alias("pos"), "lon", "lat")
     )
-    along = sourced.filter(F.col("kind") == "FORWARD").join(
-        line.withColumnsRenamed({"from_node_id": "center_node", "to_node_id": "reconnect_node"}), keys
-    ).select(*keys, "kind", "pos", "lon", "lat")
-    against = sourced.filter(F.col("kind") == "REVERSED").join(
-        line.withColumnsRenamed({"to_node_id": "center_node", "from_node_id": "reconnect_node"}), keys
-    ).select(*keys, "kind", (F.col("_rev") - 1 - F.col("pos")).alias("pos"), "lon", "lat")
+    along = sourced.filter(F.col("kind") == "FORWARD").join(line, keys).select(*keys, "kind", "pos", "lon", "lat")
+    against = (
+        sourced.filter(F.col("kind") == "REVERSED")
+        .join(line.select(*[F.col(turned[k]).alias(k) for k in keys], "pos", "lon", "lat"), keys)
+        .select(*keys, "kind", (F.col("_rev") - 1 - F.col("pos")).alias("pos"), "lon", "lat")
+    )
     return along.unionByName(against).unionByName(straight)
 
 
+def reconnect_geometry(pairs: DataFrame, paths: DataFrame, geometry: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Road points from a center node back to the route. ``pairs``: center_node, reconnect_node."""
+    names = {"center_node": "from_node_id", "reconnect_node": "to_node_id"}
+    drawn = drive_geometry(pairs.withColumnsRenamed(names), paths, geometry, nodes)
+    return drawn.withColumnsRenamed({v: k for k, v in names.items()})
+
+
+def detour_geometry(found: DataFrame, spots: DataFrame, paths: DataFrame, geometry: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The line of each detour found: the truck's own place, then the drive to the center's node.
+
+    ``found``: entity_id, from_node_id, to_center_id, to_center_node_id; ``spots``: entity_id, latitude, longitude.
+    """
+    keys = ["entity_id", "to_center_id"]
+    asked = found.select(*keys, "from_node_id", F.col("to_center_node_id").alias("to_node_id"))
+    drawn = drive_geometry(asked, paths, geometry, nodes)
+    road = asked.join(drawn, ["from_node_id", "to_node_id"]).select(*keys, (F.col("pos") + 1).alias("pos"), "lon", "lat")
+    start = asked.join(spots, "entity_id").select(
+        *keys, F.lit(0).cast("long").alias("pos"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")
+    )
+    return start.unionByName(road)
+
+
 def detour_lookup(
     waypoints: DataFrame,
     routes: DataFrame,
@@ -369,20 +393,27 @@ def detour_lookup(
     detours: DataFrame,
     epoch: int,
     direction_aware: bool = False,
+    requests: DataFrame | None = None,
 ) -> DataFrame:
-    """Stored detours from the path node nearest to each truck.
+    """Stored detours from the path node nearest to each truck, to the centers it asks for.
 
-    By default the truck stands at the miles driven since the start, return legs ignored;
+    ``requests`` (entity_id, to_center_id) names the pairs asked for; without it a truck gets
+    the detours to every center. By default the truck stands at the miles driven since the start, return legs ignored;
     ``direction_aware`` uses its position on the current leg.
     """
     if direction_aware:
         targets = leg_position(route_extent(waypoints), None, epoch).select("entity_id", "target_miles")
     else:
         targets = routes.select("entity_id", F.lit(epoch * MILES_PER_EPOCH).alias("target_miles"))
+    if requests is not None:
+        targets = targets.join(requests.select("entity_id").distinct(), "entity_id", "left_semi")
     spots = nearest_mile(waypoints, targets)
-    start = nearest_path_node(spots, path_nodes, nodes)
+    start = nearest_path_node(spots, path_nodes, nodes).select("entity_id", F.col("node_id").alias("from_node_id"))
+    if requests is None:
+        found = start.join(detours, "from_node_id")
+    else:
+        asked = start.join(requests.select("entity_id", "to_center_id").distinct(), "entity_id")
+        found = asked.join(detours, ["from_node_id", "to_center_id"])
     return (
-        start.select("entity_id", F.col("node_id").alias("from_node_id"))
-        .join(detours, "from_node_id")
-        .select("entity_id", "from_node_id", "to_center_id", "distance_miles", "duration_hours", "path_nodes")
+        found.select("entity_id", "from_node_id", "to_center_id", "to_center_node_id", "distance_miles", "duration_hours", "path_nodes")
     )

@@ -253,3 +253,9 @@ def service_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.pmod(n * 11, F.lit(57)) - 124 + offset).alias("longitude"),
         node_id(n).alias("node_id"),
     )
+
+
+def detour_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every center asks for the detour of one truck."""
+    number = F.pmod("s_suppkey", F.lit(FLEET_SIZE)) + 1
+    return table(spark, sf_dir, "supplier").select(truck_id(number).alias("entity_id"), F.col("s_suppkey").alias("to_center_id"))

@@ -14,7 +14,7 @@ from convoy.operators import fleet, graph, routes, scoring, series, state, stops
 from convoy.plans import fixtures as fx
 from convoy.plans import parameters as p
 from convoy.schemas import MARKERS, PREDICTIONS
-from convoy.settings import CLASS_LABELS, scratch_path, staged
+from convoy.settings import CLASS_LABELS, MILES_PER_EPOCH, scratch_path, staged
 from convoy.sources.csv import read_csv
 from convoy.sources.records import json_records as to_records
 from convoy.sources.store import StateTable
@@ -493,18 +493,38 @@ def detour_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.detour_candidates(_detours(spark, sf), fx.service_centers(spark, sf)))
 
 
+def _asked_detours(spark: SparkSession, sf: str, waypoints: DataFrame, paths: DataFrame) -> DataFrame:
+    """Detours of every truck to the centers that ask for it."""
+    return stops.detour_lookup(
+        waypoints,
+        fx.routes(spark, sf),
+        fx.path_nodes(spark, sf),
+        fx.nodes(spark, sf),
+        graph.detour_table(paths, fx.service_centers(spark, sf)),
+        p.LOOKUP_EPOCH,
+        requests=fx.detour_requests(spark, sf),
+    )
+
+
 @query
 def detour_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(
-        stops.detour_lookup(
-            _waypoints(spark, sf),
-            fx.routes(spark, sf),
-            fx.path_nodes(spark, sf),
-            fx.nodes(spark, sf),
-            _detours(spark, sf),
-            p.LOOKUP_EPOCH,
-        )
-    )
+    return rounded(_asked_detours(spark, sf, _waypoints(spark, sf), _paths(spark, sf)))
+
+
+def _stored_lines(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every drive has a stored line, but for those from the last nodes of the alphabet: their
+    lines are the opposite drives turned round."""
+    return staged(graph.path_geometry(paths.filter(F.col("source") < p.LINES_BELOW), edges), "geometry")
+
+
+@query
+def detour_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    edges, nodes, waypoints = _edges(spark, sf), fx.nodes(spark, sf), _waypoints(spark, sf)
+    paths = graph.shortest_paths(fx.adjacency(edges), nodes)
+    found = staged(_asked_detours(spark, sf, waypoints, paths), "asked")
+    miles = fx.routes(spark, sf).select("entity_id", F.lit(p.LOOKUP_EPOCH * MILES_PER_EPOCH).alias("target_miles"))
+    spots = fleet.nearest_mile(waypoints, miles).select("entity_id", "latitude", "longitude")
+    return rounded(stops.detour_geometry(found, spots, paths, _stored_lines(paths, edges), nodes))
 
 
 @query
@@ -531,9 +551,7 @@ def reconnect_best(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
     shared = _Stops(spark, sf, with_paths=True)
-    # Every drive has a stored line, but for those from the last nodes of the alphabet: their
-    # lines are the opposite drives turned round.
-    stored = staged(graph.path_geometry(shared.paths.filter(F.col("source") < p.LINES_BELOW), shared.edges), "geometry")
+    stored = _stored_lines(shared.paths, shared.edges)
     pairs = staged(shared.reconnections().select("center_node", "reconnect_node").distinct(), "pairs")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
 
@@ -568,6 +586,16 @@ def service_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ranked.withColumn("rank", F.col("rank").cast("long")))
 
 
+@query
+def option_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """The drives of the ranked options off the route."""
+    shared = _Stops(spark, sf, with_paths=True)
+    options = staged(shared.ranking().filter("NOT on_route").select("entity_id", "rank", F.col("departure_node").alias("from_node_id"), F.col("node_id").alias("to_node_id")), "options")
+    drawn = stops.drive_geometry(options, shared.paths, _stored_lines(shared.paths, shared.edges), fx.nodes(spark, sf))
+    found = options.join(drawn, ["from_node_id", "to_node_id"])
+    return rounded(found.select("entity_id", F.col("rank").cast("long").alias("rank"), "from_node_id", "to_node_id", "kind", "pos", "lon", "lat"))
+
+
 @query
 def service_recommendation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stops.service_recommendation(_Stops(spark, sf, with_paths=True).ranking()))
