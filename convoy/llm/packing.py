@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +16,13 @@ from convoy.llm.common import WORD, chunks, texts
 from convoy.settings import staged
 
 END = 0
+#: What the last token of a word ends with in the vocabulary.
+WORD_END = "</w>"
+#: Signs that are never one token with the letters before them.
+SIGNS = ".,;:!?*&%$#"
 #: Words a worker remembers, and the longest one it remembers.
-WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+WORDS_KEPT, LONGEST_KEPT = 1_000_000, 64
+_OTHER_BLANKS = re.compile("[\x1c-\x1f]")
 
 
 class CapacityTree:
@@ -94,31 +101,68 @@ def _encoder(path: str):
 
 
 class WordEncoder:
-    """Ids of a text, word by word: the vocabulary drops white space and never merges across it."""
+    """Ids of a text, piece by piece: the vocabulary drops white space and never merges across it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        # The vocabulary lower-cases letter by letter; special tokens count as written.
+        return WORD.findall(text) if "<|" in text else _split(text if "\u03a3" in text else text.lower())
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode unknown pieces; letters and the signs after them are always apart.
+
+        A run of letters is one word of the vocabulary's rules, and the last token of a word and
+        no other ends it; so many such runs are encoded as one text and cut again.
+        """
+        cores = {piece: core for piece in new if _only_letters(core := piece.rstrip(SIGNS))}
+        words = list(set(cores.values()).difference(self.known))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        tails = {piece[len(core) :] for piece, core in cores.items() if len(piece) > len(core)}
+        parts = list(tails.union(new.difference(cores)).difference(self.known))
+        for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.known[part] = np.array(encoding.ids, "<u4").tobytes()
+        for piece, core in cores.items():
+            if len(piece) > len(core):
+                self.known[piece] = self.known[core] + self.known[piece[len(core) :]]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [WORD.findall(text) for text in batch]
+        split = list(map(self._pieces, batch))
         if len(self.known) > WORDS_KEPT:
             self.known = {}
-        new = list({word for words in split for word in words}.difference(self.known))
-        found = self.known
+        new = set().union(*split).difference(self.known)
         if new:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            found.update(zip(new, ids))
-        encoded = [b"".join([found[word] for word in words]) for words in split]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del found[word]
+            self._learn(new)
+        encoded = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > LONGEST_KEPT:
+                del self.known[piece]
         return encoded
 
 
+def _only_letters(core: str) -> bool:
+    """Whether a piece is letters still after lower-casing and composing it."""
+    lower = core.lower()
+    return lower.isalpha() and (lower.isascii() or unicodedata.is_normalized("NFC", lower))
+
+
+def _split(text: str) -> list[str]:
+    """str.split() knows more blanks than the vocabulary drops; texts with those are matched instead."""
+    return text.split() if text.isascii() and not _OTHER_BLANKS.search(text) else WORD.findall(text)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32.
 
