@@ -14,7 +14,9 @@ from convoy.llm.components import connected_components
 from convoy.settings import staged
 
 #: Sets that one tree holds at most; a larger group is split into blocks.
-BLOCK = 400
+BLOCK = 600
+#: Sets of a component that meet those of others, and how often, before all that is open meets.
+SPEAKERS, MEETINGS = 3, 1
 #: Word hashes a worker remembers.
 WORDS_KEPT = 300_000
 
@@ -234,8 +236,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
        token. All sets of a token meet in the group of the smallest of them, so near copies
        meet in few groups.
     3. Every group, in blocks of ``BLOCK`` sets that all hold its smallest set, is joined in a prefix
-       tree (``tree_links``). Where a group of several blocks is not yet one component, every
-       set outside its largest component meets every other set of the group.
+       tree (``tree_links``). Where a group of several blocks is not yet one component, a few sets
+       of each component meet first; then every set outside the largest one meets all others.
     4. Links become components; members of a node follow it.
 
     Shingles are compared by 64-bit hashes, sets by 128 bits. Null and empty texts have no
@@ -281,7 +283,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     links = staged(_links_of(routes.withColumn("root", F.col("node")).join(tokens, "node"), bounds), "links")
     several = routes.filter("blocks > 1")
     if not several.isEmpty():
-        links = links.union(_cross_links(several, links, tokens, bounds))
+        links = staged(_cross_links(several, links, tokens, bounds), "links")
     roots = connected_components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -371,11 +373,31 @@ def _tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(whole, "node string, tokens binary")
 
 
+def _members(routes: DataFrame, links: DataFrame) -> DataFrame:
+    """(group, node, blocks, root): the sets of groups that are not yet one component."""
+    members = routes.select("group", "node", "blocks").distinct().join(connected_components(links), "node", "left")
+    members = members.withColumn("root", F.coalesce("root", "node"))
+    open_groups = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return staged(members.join(open_groups.select("group"), "group", "left_semi"), "members")
+
+
 def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds: Bounds) -> DataFrame:
-    """Links across the blocks of a group, where it is not yet one component."""
-    roots = connected_components(links)
-    members = routes.select("group", "node", "blocks").distinct().join(roots, "node", "left")
-    members = staged(members.withColumn("root", F.coalesce("root", "node")), "members")
+    """Links across the blocks of a group, where it is not yet one component.
+
+    First a few sets of every component meet those of the others, dealt anew each time: blocks
+    of one family, whose smallest set is not like the rest, so grow together in rows that
+    are linear in the sets. Then every set outside the largest component meets every other.
+    """
+    found = links
+    for turn in range(MEETINGS):
+        members = _members(routes, found)
+        nth = F.row_number().over(Window.partitionBy("group", "root").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+        few = members.withColumn("nth", nth).filter(F.col("nth") <= SPEAKERS)
+        counts = few.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        few = few.join(counts, "group").select("group", F.expr(f"cast(pmod(xxhash64(node, {turn + 7}), parts) as int)").alias("block"), "node", "root")
+        found = staged(found.union(_links_of(few.join(tokens, "node"), bounds)), "links")
+
+    members = _members(routes, found)
     parts = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(F.col("n").desc(), "root")))
     outside = members.join(parts.filter("nth > 1").select("group", "root"), ["group", "root"])
@@ -388,7 +410,7 @@ def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds:
         "group", "node", "root", F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("column")
     )
     tasks = outside.unionByName(inside).select("group", F.concat_ws(":", "row", "column").alias("block"), "node", "root")
-    return _links_of(tasks.join(tokens, "node"), bounds)
+    return found.union(_links_of(tasks.join(tokens, "node"), bounds))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
