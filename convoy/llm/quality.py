@@ -40,7 +40,10 @@ class _Tokens(dict):
     """Buckets of the tokens in a piece of text without blanks, as bytes."""
 
     def __missing__(self, piece: str) -> bytes:
-        value = np.array([_bucket(token) for token in _TOKEN.findall(piece)], np.int64).tobytes()
+        # Most pieces are letters and a sign, which the pattern would split alike.
+        core = piece.rstrip(".,;:!?")
+        tokens = filter(None, (core, piece[len(core) :])) if core.isalpha() else _TOKEN.findall(piece)
+        value = b"".join(_bucket(token).to_bytes(8, "little") for token in tokens)
         if len(self) < WORDS_KEPT and len(piece) < 64:
             self[piece] = value
         return value
