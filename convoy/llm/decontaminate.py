@@ -31,7 +31,10 @@ class _WordHash(dict):
     def __missing__(self, piece: str) -> bytes:
         import xxhash
 
-        value = np.array([xxhash.xxh3_64_intdigest(word) for word in _WORD.findall(piece.lower())], np.uint64).tobytes()
+        # Most pieces are letters and a sign, which the pattern would find alike.
+        low = piece.rstrip(".,;:!?").lower()
+        words = (low,) if low.isalpha() else _WORD.findall(piece.lower())
+        value = b"".join(xxhash.xxh3_64_intdigest(word).to_bytes(8, "little") for word in words)
         if len(self) < WORDS_KEPT and len(piece) < 64:
             self[piece] = value
         return value
@@ -72,9 +75,11 @@ class _Rule:
 
 
 def _rules(steps: int) -> list[_Rule]:
+    """Every repetition samples the first word and random later steps, so that one look at the
+    first word sorts out most windows for all of them."""
     rng = np.random.default_rng(1009 + steps)
-    count = min(SAMPLED, steps)
-    return [_Rule(int(rng.integers(1, 2**62)), sorted(rng.choice(steps, count, replace=False).tolist())) for _ in range(REPETITIONS)]
+    count = min(SAMPLED, steps) - 1
+    return [_Rule(int(rng.integers(1, 2**62)), [0, *sorted((1 + rng.choice(steps - 1, count, replace=False)).tolist())] if count else [0]) for _ in range(REPETITIONS)]
 
 
 def walk_length(words: int) -> int:
@@ -104,6 +109,7 @@ class PassageIndex:
             offset = np.concatenate([np.arange(len(self.items[at][1])) for at in members])
             length = np.array([len(self.items[at][1]) for at in members]).repeat([len(self.items[at][1]) for at in members])
             padded = np.concatenate((flat, np.zeros(steps + 1, np.uint64)))
+            first = None
             for rule in _rules(steps):
                 at, filters, key, position = np.arange(len(flat)), [], np.zeros(len(flat), np.uint64), 0
                 for step in range(rule.steps[-1] + 1):
@@ -111,7 +117,11 @@ class PassageIndex:
                     if step in rule.steps:
                         key = rule.joined(key, symbols)
                         inside = at - np.arange(len(flat)) + offset < length
-                        filters.append(self._filter(key[inside]))
+                        if step or first is None:
+                            filters.append(self._filter(key[inside]))
+                        first = filters[0] if first is None else first
+                        if not step:
+                            filters = [first]
                     at = at + rule.advance(symbols, step)
                 order = np.argsort(key[inside], kind="stable")
                 self.tables.append((rule, filters, key[inside][order], item[inside][order], offset[inside][order]))
@@ -126,12 +136,17 @@ class PassageIndex:
     def candidates(self, flat: np.ndarray) -> np.ndarray:
         """Rows (window start, item, offset in the item) whose sampled embeddings agree."""
         padded, found = np.concatenate((flat, np.zeros(STEPS + 1, np.uint64))), []
+        first, opened = _Rule.joined(np.zeros(len(flat), np.uint64), flat), {}
         for rule, filters, keys, item, offset in self.tables:
-            start = np.arange(len(flat))
-            at, key, seen = start, np.zeros(len(flat), np.uint64), 0
+            # Repetitions for items of one size look for the same first words.
+            if id(filters[0]) not in opened:
+                alive = np.flatnonzero(filters[0][(first & np.uint64(len(filters[0]) - 1)).astype(np.int64)])
+                opened[id(filters[0])] = alive, first[alive]
+            start, key = opened[id(filters[0])]
+            at, seen = start, 1
             for step in range(rule.steps[-1] + 1):
                 symbols = padded[at]
-                if step in rule.steps:
+                if step and step in rule.steps:
                     key = rule.joined(key, symbols)
                     known = filters[seen]
                     seen += 1
