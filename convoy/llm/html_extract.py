@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled pages that may teach the weights.
+#: A hash share of the table of three times so many pages is looked at; those of them that mark their article teach the weights.
 SAMPLE = 1_000
 
 # The roles of HTML elements, and words of class and id names that mark what is not the article.
@@ -24,6 +24,9 @@ BLOCKS = frozenset(
 )
 SECTIONS = frozenset("article aside body details dialog div fieldset figure footer form header head html main menu nav section table".split())
 CONTENT = frozenset(("article", "main"))
+# Sections that say nothing by themselves: they belong to the section around them.
+NEUTRAL = frozenset("details div figure section table".split())
+PROSE = frozenset("p h1 h2 h3 blockquote pre".split())
 LEFT_OUT = frozenset("aside footer form header nav menu dialog fieldset".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|promoted|sponsor(?:ed)?|comments?|replies|disqus|cookies?|consent|notices?|popup|modal|newsletter|subscribe|"
@@ -48,11 +51,13 @@ def page_runs(page: str):
     """The page as runs (signature, words, text, block, inside): tags have no words.
 
     A run is a tag, or a stretch of text. ``signature`` of a text is its block element, its
-    nearest section, and whether it is a link; ``block`` counts the blocks it lies in and
-    ``inside`` says whether explicit markup calls it the article's, None if the page has none.
+    nearest section, and whether it is a link; that of a tag is its name and the section it
+    stands in, and a section's start tag is the section alone. ``block`` counts the blocks it
+    lies in and ``inside`` says whether explicit markup calls it the article's, None if the page
+    has none.
     """
     runs: list[tuple[str, int, str, int, bool | None]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, section signature, left out
+    stack: list[tuple[str, str, bool]] = []  # element, signature of the nearest section, left out
     block, at, marked = 0, 0, False
     content, out, links = 0, 0, 0
 
@@ -73,7 +78,7 @@ def page_runs(page: str):
                 continue
             words = len(part.split())
             holder = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            section = next((s for n, s, _ in reversed(stack) if n in SECTIONS), "body")
+            section = stack[-1][1] if stack else "body"
             runs.append((f"{holder}|{section}|{'a' if links else ''}", words, part, block, bool(content and not out)))
             continue
         if match[1]:
@@ -85,16 +90,20 @@ def page_runs(page: str):
                 if stack[depth][0] in SECTIONS and name not in SECTIONS:
                     break
             block += name in BLOCKS
-            runs.append((f"</{name}>", 0, "", block, bool(content and not out)))
+            runs.append((f"</{name}|{stack[-1][1] if stack else 'body'}>", 0, "", block, bool(content and not out)))
             continue
         if name in RAW:
             end = _RAW_END[name].search(page, at)
-            runs.append((f"<{name}>", 0, "", block, bool(content and not out)))
+            runs.append((f"<{name}|{stack[-1][1] if stack else 'body'}>", 0, "", block, bool(content and not out)))
             at = end.end() if end else len(page) if name in ("script", "style") else at
             continue
         while stack and name in CLOSED_BY.get(stack[-1][0], ()) or (stack and stack[-1][0] not in BLOCKS and name in BLOCKS and any(n == "p" for n, _, _ in stack)):
             pop()
-        section, left_out = _section(name, match[3] or "") if name in SECTIONS else (name, False)
+        around = stack[-1][1] if stack else "body"
+        section, left_out = _section(name, match[3] or "") if name in SECTIONS else (around, False)
+        if section in NEUTRAL and around not in ("body", "html"):
+            section = around
+        own = name in SECTIONS and section.rstrip("!") == name
         block += name in BLOCKS
         if name not in VOID:
             stack.append((name, section, left_out))
@@ -102,28 +111,50 @@ def page_runs(page: str):
             marked |= name in CONTENT
             out += left_out
             links += name == "a"
-        runs.append((f"<{section}>" if name != "br" else "<br>", 0, " " if name == "br" else "", block, bool(content and not out)))
+        runs.append((f"<{section}>" if own else f"<{name}|{section}>", 0, " " if name == "br" else "", block, bool(content and not out)))
     return [(s, w, t, b, i if marked else None) for s, w, t, b, i in runs]
 
 
 class RunWeights(dict):
-    """Weight of a run's signature: of one word in it, or of a tag; unseen ones fall back on their parts."""
+    """Weight of a run's signature: of one word in it, or of a tag; unseen ones fall back on their parts.
+
+    An unseen link weighs like the words around it in its block; only links in other than prose
+    that nothing was learned of, outside marked articles, may be a list of links.
+    """
+
+    def __init__(self, learned: dict[str, float] | None = None):
+        super().__init__(learned or {})
+        self.learned = frozenset(self)
 
     def __missing__(self, signature: str) -> float:
         if signature.startswith("<"):
-            value = -2.0 if signature.strip("</>").endswith("!") or signature.strip("</>!") in LEFT_OUT | {"script", "style"} else -0.3
+            name, _, section = signature.strip("</>").partition("|")
+            value = -2.0 if name.endswith("!") or name in LEFT_OUT | {"script", "style"} else -0.1 if section in CONTENT else -0.3
         else:
             block, section, link = signature.split("|")
-            bad = section.endswith("!") or section in LEFT_OUT | {"head", "html"}
-            value = -1.0 if bad else -0.5 if link else 1.0 if block in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.5
+            words = f"{block}|{section}|"
+            if section.endswith("!") or section in LEFT_OUT | {"head", "html"}:
+                value = -1.0
+            elif link:
+                value = self[words] if section in CONTENT or block in PROSE or words in self.learned else -0.5
+            else:
+                value = 1.0 if block in PROSE else 0.5
+                # A block not seen in articles before is as good as the article's others.
+                if section in CONTENT:
+                    value = max(value, self.get(f"|{section}|", value))
         self[signature] = value
         return value
 
 
 def learned_weights(inside: Counter, outside: Counter) -> RunWeights:
-    """Log odds of words by signature; tags cost what their odds say, and always something."""
-    weights = RunWeights()
+    """Log odds of words by signature, and of all words of a section; tags cost what their odds say, and always something."""
+    inside, outside = Counter(inside), Counter(outside)
     total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
+    for counts in (inside, outside):
+        for signature, n in list(counts.items()):
+            if not signature.startswith("<"):
+                counts[f"|{signature.split('|')[1]}|"] += n
+    weights = {}
     for signature in set(inside) | set(outside):
         a, b = inside[signature], outside[signature]
         if a + b < 20:
@@ -132,7 +163,7 @@ def learned_weights(inside: Counter, outside: Counter) -> RunWeights:
             weights[signature] = float(np.clip(np.log((a + 0.5) / (b + 0.5)), -8, -0.1))
         else:
             weights[signature] = float(np.clip(np.log((a + 0.5) / total_in) - np.log((b + 0.5) / total_out), -4, 4))
-    return weights
+    return RunWeights(weights)
 
 
 def extract(page: str, weights: RunWeights) -> str:
@@ -140,7 +171,8 @@ def extract(page: str, weights: RunWeights) -> str:
 
     One scan keeps the best sum that ends here and the best so far; all words of a stretch
     weigh the same, so it is added at once. Of runs with equal sums the first and longest wins.
-    Stretches of negative words inside the best run (adverts, forms, comments) stay out.
+    The run is widened to whole blocks. Of the blocks in it those without a stretch of positive
+    weight (adverts, forms, comments) stay out, the others are kept with all inline stretches.
     """
     runs = page_runs(page)
     best, best_range, here, start = 0.0, (0, 0), 0.0, 0
@@ -151,19 +183,25 @@ def extract(page: str, weights: RunWeights) -> str:
         here += gain
         if here > best:
             best, best_range = here, (start, i + 1)
-    # Markup and blanks around the run belong to it when they cost nothing.
+    first, last = best_range
+    while 0 < first < last and runs[first - 1][3] == runs[first][3]:
+        first -= 1
+    while 0 < last < len(runs) and runs[last][3] == runs[last - 1][3]:
+        last += 1
+    good = {block for (_, words, _, block, _), gain in zip(runs[first:last], gains[first:last]) if words and gain > 0}
     blocks: dict[int, list[str]] = {}
-    for (signature, words, text, block, _), gain in zip(runs[slice(*best_range)], gains[slice(*best_range)]):
-        if text and (gain > 0 or not words):
+    for _, _, text, block, _ in runs[first:last]:
+        if text and block in good:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(line for line in lines if line)
 
 
 def fit_weights(pages: DataFrame, limit: int = SAMPLE) -> RunWeights:
-    """Weights from at most ``limit`` pages, in hash order, whose markup names the article.
+    """Weights from pages whose markup names the article, among about three times ``limit`` pages.
 
-    Only those pages are read whole; the driver gets counts of signatures.
+    The hash of id and url decides which pages are looked at, so their number is near the bound
+    and not exact. Only those pages are read whole; the driver gets counts of signatures.
     """
     share = min(1.0, 3 * limit / max(pages.count(), 1))
     some = pages.filter(F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_000)) < int(share * 1_000_000)).filter(F.col("html").rlike("(?i)<(article|main)[ >]"))

@@ -2,7 +2,7 @@ import html
 import re
 import time
 
-from convoy.llm.html_extract import RunWeights, extract, main_text
+from convoy.llm.html_extract import RunWeights, extract, fit_weights, main_text
 
 
 def article(page):
@@ -54,3 +54,26 @@ def test_edges(spark):
     found = sorted((str(r.page_id), r.text[:20], r.n_chars) for r in main_text(pages).collect())
     assert found == [("1", "", 0), ("2", "", 0), ("3", "same page", 9), ("3", "same page", 9), ("4", "long long long long ", 249_999), ("None", "some words here", 15)]
     assert main_text(spark.createDataFrame([], pages.schema)).count() == 0
+
+
+def test_learned_weights_keep_links_and_lists_of_articles(spark, sf):
+    """The given pages have links and lists only outside of articles."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = fit_weights(pages)
+    nav = "<nav><ul><li><a href=/a>Menu</a></li><li><a href=/b>Other</a></li></ul></nav>"
+    prose = "<h1>Head line</h1><p>Some words that open it</p><p>Read <a href=r>the full report</a> today, or <a href=s>all of the other and much longer reports</a></p>"
+    short = "<ul>" + "".join(f"<li><a href=/{k}>item{k}</a></li>" for k in range(200)) + "</ul>"
+    listed = [f"item{k}" for k in range(200)]
+    head = ["Head line", "Some words that open it", "Read the full report today, or all of the other and much longer reports"]
+    table = "<table><tr><td>cell</td><td><a href=c>linked</a></td></tr></table>"
+    for inner, more in ((prose + short, listed), (prose + short + "<p>The end of it</p>", [*listed, "The end of it"]), (prose + table, ["cell", "linked"]), (f"<div>{prose}</div><div>{short}</div>", listed)):
+        page = f"<html><body>{nav}<div class=ad>Buy it</div><article>{inner}</article><footer><p>Imprint <a href=i>words</a></p></footer></body></html>"
+        assert extract(page, weights) == "\n".join(head + more)
+    assert extract("<p>Read <a>the full report</a> today</p>", weights) == extract("<p>Read <a>the full report</a> today</p>", RunWeights()) == "Read the full report today"
+    assert extract("<div>A long enough line of words, see <a>report</a></div>", RunWeights()) == "A long enough line of words, see report"
+
+
+def test_unclosed_inline_tags():
+    start = time.time()
+    assert extract("<b>" * 30_000 + "x", RunWeights()) == "x"
+    assert time.time() - start < 10
