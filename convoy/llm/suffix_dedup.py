@@ -28,7 +28,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 _PLACE = 15  # bits below the start of a place: 7 for hi - lo, 8 for anchor - lo
-_TAG = 47  # bits below the tag of the text
+_TAG = 47  # bits below the tag of the text, 15 bits beside the 64 of its doc
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -160,28 +160,28 @@ def _unpack(place: np.ndarray):
 
 
 def _suffix_tuples(batches: Iterator) -> Iterator:
-    """P1: the sampled suffixes (gram, span, ord, place) of every text, in tiles of bounded size."""
+    """P1: the sampled suffixes (gram, span, ord, doc, place) of every text, in tiles of bounded size."""
     import pyarrow as pa
 
     def flush(pieces):
-        data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
-        ends = np.cumsum([len(p[3]) for p in pieces])
-        starts = ends - [len(p[3]) for p in pieces]
+        data = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
+        ends = np.cumsum([len(p[4]) for p in pieces])
+        starts = ends - [len(p[4]) for p in pieces]
         text, lo, hi, anchor, gram, span = sampled_suffixes(data, starts, ends)
-        shift = np.array([p[2] for p in pieces], np.int64)[text] - starts[text]
-        tag = np.array([p[1] for p in pieces], np.int64)[text]
+        order, doc, tag, begin = (np.array([p[k] for p in pieces], np.int64)[text] for k in range(4))
+        shift = begin - starts[text]
         place = _pack(0, lo + shift, hi + shift, anchor + shift) | (tag << _TAG)
-        columns = (gram.view(np.int64), span.view(np.int64), np.array([p[0] for p in pieces], np.int64)[text], place)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "span", "ord", "place"])
+        columns = (gram.view(np.int64), span.view(np.int64), order, doc, place)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "span", "ord", "doc", "place"])
 
     pieces, size = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            for order, tag, text in zip(*(part.column(c).to_pylist() for c in ("ord", "tag", "bytes"))):
+            for order, doc, tag, text in zip(*(part.column(c).to_pylist() for c in ("ord", "doc", "tag", "bytes"))):
                 for start in range(0, max(len(text) - LENGTH + 1, 0), TILE):
                     piece = text[start : start + TILE + LENGTH - 1]
-                    pieces.append((order, tag, start, piece))
+                    pieces.append((order, doc, tag, start, piece))
                     size += len(piece)
                     if size >= TILE:
                         yield flush(pieces)
@@ -191,7 +191,7 @@ def _suffix_tuples(batches: Iterator) -> Iterator:
 
 
 def _settle_spans(batches: Iterator) -> Iterator:
-    """Sorted tuples (gram, span, ord, place): whole spans seen before, and those that need their bytes.
+    """Sorted tuples (gram, span, ord, doc, place): whole spans seen before, and those that need their bytes.
 
     kind 0: the same span came earlier, all its passages are repeats. kind 1: the first of a
     span whose gram also has another span. What another partition might hold counts as needed.
@@ -199,38 +199,38 @@ def _settle_spans(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     def rows(kind, *columns):
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.full(len(columns[0]), kind), pa.int32())], names=["gram", "ord", "place", "kind"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.full(len(columns[0]), kind), pa.int32())], names=["gram", "ord", "doc", "place", "kind"])
 
     last, waiting, follows = None, None, True
     for batch in batches:
-        gram, span, order, place = (batch.column(c).to_numpy() for c in ("gram", "span", "ord", "place"))
+        gram, span, order, doc, place = (batch.column(c).to_numpy() for c in ("gram", "span", "ord", "doc", "place"))
         if not len(gram):
             continue
         head = np.concatenate(([last is None or (gram[0], span[0]) != last[:2]], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])))
         # Rows equal in id and text are one document: a tuple just like the one before is the same passage.
-        moved = np.concatenate(([last is None or (order[0], place[0]) != last[2:]], (order[1:] != order[:-1]) | (place[1:] != place[:-1])))
+        moved = np.concatenate(([last is None or (order[0], doc[0], place[0]) != last[2:]], (order[1:] != order[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
         seen = ~head & moved
         if seen.any():
-            yield rows(0, gram[seen], order[seen], place[seen])
+            yield rows(0, gram[seen], order[seen], doc[seen], place[seen])
         heads = np.flatnonzero(head)
-        g, o, p = gram[heads], order[heads], place[heads]
+        g, o, d, p = gram[heads], order[heads], doc[heads], place[heads]
         if waiting is not None:
-            g, o, p = np.append(waiting[0], g), np.append(waiting[1], o), np.append(waiting[2], p)
-        last = (gram[-1], span[-1], order[-1], place[-1])
+            g, o, d, p = (np.append(w, x) for w, x in zip(waiting, (g, o, d, p)))
+        last = (gram[-1], span[-1], order[-1], doc[-1], place[-1])
         if not len(g):
             continue
         # ``follows``: the gram of the first head is (or, first of all, might be) that of the one before.
         near = g[1:] == g[:-1]
         need = np.concatenate(([follows], near))[:-1] | near
         if need.any():
-            yield rows(1, g[:-1][need], o[:-1][need], p[:-1][need])
-        follows, waiting = bool(near[-1]) if len(near) else follows, (g[-1:], o[-1:], p[-1:])
+            yield rows(1, g[:-1][need], o[:-1][need], d[:-1][need], p[:-1][need])
+        follows, waiting = bool(near[-1]) if len(near) else follows, (g[-1:], o[-1:], d[-1:], p[-1:])
     if waiting is not None:
         yield rows(1, *waiting)
 
 
 def _contexts(batches: Iterator) -> Iterator:
-    """P2: for each needed tuple, the suffix tuples (key, ord, base, left, right) of its two halves.
+    """P2: for each needed tuple, the suffix tuples (key, ord, doc, base, left, right) of its two halves.
 
     The near half holds the passages that start at most HALF - 1 bytes before the anchor, all of
     them hold the bytes hashed into its key; the far half holds the rest.
@@ -242,8 +242,8 @@ def _contexts(batches: Iterator) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, 50):
             part = batch.slice(at, 50)
-            out: list[list] = [[], [], [], [], []]
-            for order, tag, packed, places in zip(*(part.column(c).to_pylist() for c in ("ord", "tag", "z", "places"))):
+            out: list[list] = [[], [], [], [], [], []]
+            for order, doc, tag, packed, places in zip(*(part.column(c).to_pylist() for c in ("ord", "doc", "tag", "z", "places"))):
                 text = unpack.decompress(packed)
                 place = np.array(places, np.int64)
                 lo, hi, anchor = _unpack(place)
@@ -256,11 +256,12 @@ def _contexts(batches: Iterator) -> Iterator:
                         if ok:
                             out[0].append(_key(text[a + common[0] : a + common[1]], depth))
                             out[1].append(order)
-                            out[2].append((tag << _TAG) | b)
-                            out[3].append(text[a - far : b])
-                            out[4].append(text[b : min(b + LENGTH, h + LENGTH)])
+                            out[2].append(doc)
+                            out[3].append((tag << _TAG) | b)
+                            out[4].append(text[a - far : b])
+                            out[5].append(text[b : min(b + LENGTH, h + LENGTH)])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "ord", "base", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "ord", "doc", "base", "left", "right"])
 
 
 def _key(data: bytes, depth: int) -> int:
@@ -271,7 +272,7 @@ def _key(data: bytes, depth: int) -> int:
 
 
 def _settle_passages(batches: Iterator) -> Iterator:
-    """Sorted tuples of P2 to repeats (kind 0: ord, start), or to single passages with their digest (kind 1).
+    """Sorted tuples of P2 to repeats (kind 0: ord, doc, start), or to single passages with their digest (kind 1).
 
     Groups that lie whole in the partition and hold at most GROUP tuples are sorted here. The
     passages of other groups are settled by keyed minima later.
@@ -279,7 +280,7 @@ def _settle_passages(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
-    names = ["ord", "start", "kind", "w1", "w2"]
+    names = ["ord", "doc", "start", "kind", "w1", "w2"]
 
     def matrix(values: list[bytes], width: int, backwards: bool):
         size = np.array([len(v) for v in values])
@@ -287,26 +288,27 @@ def _settle_passages(batches: Iterator) -> Iterator:
         return flat.reshape(len(values), width), size
 
     def sort(rows):
-        key, order, base, left, right = zip(*rows)
-        order, base = np.array(order, np.int64), np.array(base, np.int64)
+        key, order, doc, base, left, right = zip(*rows)
+        order, doc, base = np.array(order, np.int64), np.array(doc, np.int64), np.array(base, np.int64)
         rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((base, order))] = np.arange(len(rows))
+        rank[np.lexsort((base, doc, order))] = np.arange(len(rows))
         width = max(map(len, left))
         found, step = induced_repeats(np.array(key, np.int64), rank, *matrix(left, max(width, 1), True), *matrix(right, LENGTH, False))
         zero = pa.array(np.zeros(len(found), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(order[found]), pa.array(base[found] - step), pa.array(np.zeros(len(found)), pa.int32()), zero, zero], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(order[found]), pa.array(doc[found]), pa.array(base[found] - step), pa.array(np.zeros(len(found)), pa.int32()), zero, zero], names=names)
 
     def single(rows):
-        out: list[list] = [[], [], [], []]
-        for _, order, base, left, right in rows:
+        out: list[list] = [[], [], [], [], []]
+        for _, order, doc, base, left, right in rows:
             text = left + right
             for start in range(len(text) - LENGTH + 1):
                 digest = xxhash.xxh3_128_digest(text[start : start + LENGTH])
                 out[0].append(order)
-                out[1].append(base - len(left) + start)
-                out[2].append(int.from_bytes(digest[:8], "little", signed=True))
-                out[3].append(int.from_bytes(digest[8:], "little", signed=True))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.ones(len(out[0])), pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=names)
+                out[1].append(doc)
+                out[2].append(base - len(left) + start)
+                out[3].append(int.from_bytes(digest[:8], "little", signed=True))
+                out[4].append(int.from_bytes(digest[8:], "little", signed=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(np.ones(len(out[0])), pa.int32()), *(pa.array(c, pa.int64()) for c in out[3:])], names=names)
 
     ready: list = []
     group: list = []
@@ -380,15 +382,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Each text loses the union of its repeated ranges.
 
     Spans are compared by their gram's and their own 64-bit hash together, single passages by
-    128 bits. A null text is empty; null ids come last; rows equal in id and text count as one
-    document and get one result each; an empty table gives no rows; other columns are not read.
+    128 bits. A null text is empty; null ids come last; texts of one id, or without an id, are
+    documents of their own in the order of their hash (79 bits tell them apart). Rows equal in id
+    and text count as one document and get one result each; an empty table gives no rows; other columns are not read.
 
     Returns doc_id (as given), n_bytes, n_removed, n_spans, kept_sha256.
     """
     docs = texts(docs, id_col, text_col).select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"),
-        (F.xxhash64("text").bitwiseAND(F.lit(0x7FFF))).alias("tag"),
+        F.xxhash64("text").alias("doc"),
+        F.hash("text").cast("long").bitwiseAND(F.lit(0x7FFF)).alias("tag"),
         F.col("text").cast("binary").alias("bytes"),
     )
 
@@ -401,35 +405,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 z = pa.array([pack.compress(x) for x in part.column("bytes").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ord"), part.column("tag"), z], names=["doc_id", "ord", "tag", "z"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "ord", "doc", "tag")), z], names=["doc_id", "ord", "doc", "tag", "z"])
 
-    squeezed_schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("ord", "tag")), T.StructField("z", T.BinaryType())])
+    squeezed_schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("ord", "doc", "tag")), T.StructField("z", T.BinaryType())])
     squeezed = docs.mapInArrow(squeeze, squeezed_schema)
     tag = F.shiftright("place", _TAG).alias("tag")
 
-    tuples = docs.select("ord", "tag", "bytes").mapInArrow(_suffix_tuples, "gram long, span long, ord long, place long")
-    by_span = ["gram", "span", "ord", "place"]
-    spans = tuples.repartitionByRange(*by_span).sortWithinPartitions(*by_span).mapInArrow(_settle_spans, "gram long, ord long, place long, kind int")
+    tuples = docs.select("ord", "doc", "tag", "bytes").mapInArrow(_suffix_tuples, "gram long, span long, ord long, doc long, place long")
+    by_span = ["gram", "span", "ord", "doc", "place"]
+    spans = tuples.repartitionByRange(*by_span).sortWithinPartitions(*by_span).mapInArrow(_settle_spans, "gram long, ord long, doc long, place long, kind int")
     spans = staged(spans, "spans")
 
-    needed = spans.filter("kind = 1").groupBy("ord", tag).agg(F.collect_list("place").alias("places"))
-    contexts = squeezed.dropDuplicates(["ord", "tag"]).join(needed, ["ord", "tag"]).select("ord", "tag", "z", "places")
-    contexts = contexts.mapInArrow(_contexts, "key long, ord long, base long, left binary, right binary")
-    dealt = contexts.repartitionByRange("key", "ord", "base").sortWithinPartitions("key")
-    passages = staged(dealt.mapInArrow(_settle_passages, "ord long, start long, kind int, w1 long, w2 long"), "passages")
+    needed = spans.filter("kind = 1").groupBy("ord", "doc", tag).agg(F.collect_list("place").alias("places"))
+    contexts = squeezed.dropDuplicates(["ord", "doc", "tag"]).join(needed, ["ord", "doc", "tag"]).select("ord", "doc", "tag", "z", "places")
+    contexts = contexts.mapInArrow(_contexts, "key long, ord long, doc long, base long, left binary, right binary")
+    dealt = contexts.repartitionByRange("key", "ord", "doc", "base").sortWithinPartitions("key")
+    passages = staged(dealt.mapInArrow(_settle_passages, "ord long, doc long, start long, kind int, w1 long, w2 long"), "passages")
 
     single = passages.filter("kind = 1")
-    first = single.groupBy("w1", "w2").agg(F.min(F.struct("ord", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = single.join(first, ["w1", "w2"]).filter("first < struct(ord, start)").select("ord", "start")
+    first = single.groupBy("w1", "w2").agg(F.min(F.struct("ord", "doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = single.join(first, ["w1", "w2"]).filter("first < struct(ord, doc, start)").select("ord", "doc", "start")
 
     # A passage as a place of one start: the tag lies above the start in both.
-    starts = passages.filter("kind = 0").select("ord", "start").union(later)
+    starts = passages.filter("kind = 0").select("ord", "doc", "start").union(later)
     low = F.lit((1 << (_TAG - _PLACE)) - 1)
     starts = starts.select(
         "ord",
+        "doc",
         F.shiftleft(F.shiftright("start", _TAG), _TAG).bitwiseOR(F.shiftleft(F.col("start").bitwiseAND(low), _PLACE)).alias("place"),
     )
-    ranges = spans.filter("kind = 0").select("ord", "place").union(starts)
-    ranges = ranges.groupBy("ord", tag).agg(F.collect_list("place").alias("ranges"))
+    ranges = spans.filter("kind = 0").select("ord", "doc", "place").union(starts)
+    ranges = ranges.groupBy("ord", "doc", tag).agg(F.collect_list("place").alias("ranges"))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
-    return squeezed.join(ranges, ["ord", "tag"], "left").select("doc_id", "z", "ranges").mapInArrow(_cut, schema)
+    return squeezed.join(ranges, ["ord", "doc", "tag"], "left").select("doc_id", "z", "ranges").mapInArrow(_cut, schema)

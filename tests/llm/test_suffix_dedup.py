@@ -58,6 +58,21 @@ def test_edges(edge_docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+def test_thousands_of_rows_without_or_with_one_id(spark):
+    """Different texts without an id, or of one id, are documents of their own, in the order of their hash."""
+    shared = passages(7, 3_000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ghijklm ") for _ in range(rng.randint(1, 140))) + t for _, t in shared]
+    rows = [(None if k % 3 else 5 if k % 2 else k, t) for k, t in enumerate(texts)] + [(None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").distinct().collect()}
+    # Numbers in the place of ids, in the order of the documents.
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    number = {r: n for n, r in enumerate(order)}
+    want = brute([(number[r], r[1]) for r in rows])
+    assert got(docs.repartition(3)) == sorted(((order[w[0]][0], *w[1:]) for w in want), key=str)
+
+
 def test_every_passage_has_its_anchor():
     rng = np.random.default_rng(5)
     shared = rng.integers(97, 100, 260).astype(np.uint8)
