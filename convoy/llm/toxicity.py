@@ -32,15 +32,20 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
 
-# Costs of the channel in nats: reading a sign, skipping a sign, a digit, a separator, a doubled or a dragged letter.
-READ, SKIP_SIGN, SKIP_DIGIT, SKIP_SEPARATOR, SKIP_DOUBLE, SKIP_DRAGGED = 2.5, 10.0, 14.0, 1.0, 5.0, 0.3
+# Costs of the channel in nats: reading a sign, skipping a sign, a digit, a separator, a doubled or a dragged letter, a blank.
+READ, SKIP_SIGN, SKIP_DIGIT, SKIP_SEPARATOR, SKIP_DOUBLE, SKIP_DRAGGED, SKIP_BLANK = 2.5, 10.0, 14.0, 1.0, 5.0, 0.3, 1.0
+# Words of readings of a run of short pieces that cost so much more than the best one count, too; the most a piece costs as a word of its own; pieces that may make one word.
+MARGIN, LONE, LONGEST = 6.0, 6.0, 40
 
 _BORDER, _OTHER = len(LETTERS), len(LETTERS) + 1
 SIZE = len(LETTERS) + 2
 _ENDING = re.compile(r"([.,;:?!\"')\]}…»]+|([*&%#$=~^_-])\2{2,})+$")
 _START = re.compile(r"^[\"'(\[{«¿]+")
+_DOUBLED = re.compile(r"(.)\1")
 _DRAGGED = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SHORT = r"[\"'(\[{«¿]*+\S{1,2}(?:[.,;:?!\"')\]}…»*&%#$=~^_-]*+)(?!\S)"
+_SHORT_RUN = re.compile(rf"(?<!\S){_SHORT}(?:\s++{_SHORT}){{2,}}+")
 
 
 @lru_cache(maxsize=1)
@@ -113,57 +118,163 @@ def _readings(piece: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+_NUMBER = {c: i for i, c in enumerate(LETTERS)}
+_BEFORE = {(_BORDER, _BORDER): (0.0, "")}
+
+
+def _step(states: dict, options: list[tuple[str, float]], model: np.ndarray) -> dict:
+    """The cheapest word so far by its last two letters, after one more character."""
+    after: dict = {}
+    if len(options) == 1 and len(states) == 1 and options[0][0]:
+        # A letter that only stands for itself, after the only word so far.
+        (((a, b), (cost, word)),), ((letter, price),) = states.items(), options
+        c = _NUMBER.get(letter, _OTHER)
+        return {(b, c): (cost + price + model[a][b][c], word + letter)}
+    for (a, b), (cost, word) in states.items():
+        for letter, price in options:
+            if letter:
+                c = _NUMBER.get(letter, _OTHER)
+                state, total, longer = (b, c), cost + price + model[a][b][c], word + letter
+            else:
+                state, total, longer = (a, b), cost + price, word
+            if state not in after or (total, longer) < after[state]:
+                after[state] = (total, longer)
+    return after
+
+
+def _ended(states: dict, model: np.ndarray) -> tuple[float, str]:
+    if len(states) == 1:
+        (((a, b), (cost, word)),) = states.items()
+        return cost + model[a][b][_BORDER], word
+    return min([(cost + model[a][b][_BORDER], word) for (a, b), (cost, word) in states.items()])
+
+
 def restore(piece: str, model: np.ndarray) -> str:
     """The likeliest word behind a piece: Viterbi over the lattice, states are the last two letters."""
-    number = {c: i for i, c in enumerate(LETTERS)}
-    states = {(_BORDER, _BORDER): (0.0, "")}
+    states = _BEFORE
     for options in _readings(piece):
-        after: dict = {}
-        for (a, b), (cost, word) in states.items():
-            for letter, price in options:
-                if letter:
-                    c = number.get(letter, _OTHER)
-                    state, total, longer = (b, c), cost + price + model[a, b, c], word + letter
-                else:
-                    state, total, longer = (a, b), cost + price, word
-                if state not in after or (total, longer) < after[state]:
-                    after[state] = (total, longer)
-        states = after
-    return min((cost + model[a, b, _BORDER], word) for (a, b), (cost, word) in states.items())[1]
+        states = _step(states, options, model)
+    return _ended(states, model)[1]
+
+
+def joined_words(pieces: list[str], model: np.ndarray) -> list[str]:
+    """Words that a run of short pieces may spell when blanks are skipped.
+
+    The lattice goes over the whole run. A blank is kept, and is the border of two words, or
+    skipped at a cost. A word of several pieces counts if the best reading of the run that holds
+    it costs at most MARGIN more than the best of all, so a one-letter word beside letters set
+    apart does not hide the word they spell.
+    """
+    readings, at, parts = _readings("".join(pieces)), 0, []
+    for piece in pieces:
+        parts.append(readings[at : at + len(piece)])
+        at += len(piece)
+    n = len(parts)
+
+    known: dict[tuple, list[tuple[float, str]]] = {}
+
+    def words_from(i: int) -> list[tuple[float, str]]:
+        # Readings look two characters back and one ahead; long runs mostly repeat themselves.
+        window = (min(i, 2), *pieces[max(i - 2, 0) : i + LONGEST + 1])
+        if window in known:
+            return known[window]
+        states, found = _BEFORE, []
+        for j in range(i, min(n, i + LONGEST)):
+            for options in parts[j]:
+                states = _step(states, options, model)
+            cost, word = _ended(states, model)
+            found.append((cost + SKIP_BLANK * (j - i), word))
+        if len(known) >= 1_000:
+            known.clear()
+        known[window] = found
+        return found
+
+    costs = np.full((n, LONGEST), np.inf)
+    upto, rest = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    upto[0] = rest[n] = 0.0
+    for i in range(n):
+        found = [cost for cost, _ in words_from(i)]
+        found[0] = min(found[0], LONE)
+        costs[i, : len(found)] = found
+        upto[i + 1 : i + 1 + len(found)] = np.minimum(upto[i + 1 : i + 1 + len(found)], upto[i] + found)
+    for i in range(n - 1, -1, -1):
+        size = min(LONGEST, n - i)
+        rest[i] = (costs[i, :size] + rest[i + 1 : i + 1 + size]).min()
+    out = []
+    for i in range(n):
+        size = min(LONGEST, n - i)
+        good = upto[i] + costs[i, :size] + rest[i + 1 : i + 1 + size] <= rest[0] + MARGIN
+        if good[1:].any():
+            out += [word for k, (_, word) in enumerate(words_from(i)) if k and good[k] and word]
+    return out
 
 
 def _core(piece: str) -> str:
-    return _START.sub("", _ENDING.sub("", piece.lower()))
+    return piece.lower() if piece.isalpha() else _START.sub("", _ENDING.sub("", piece.lower()))
 
 
 def restored_word(piece: str, model: np.ndarray) -> str:
     """The word of a piece of text without blanks; only odd pieces go through the channel."""
     core = _core(piece)
     if core.isalpha():
-        return restore(core, model) if _DRAGGED.search(core) else core
+        return restore(core, model) if _DOUBLED.search(core) else core
     if not any(c.isalpha() for c in core) and not any(c in LEET for c in core):
         return ""
     return restore(core, model)
 
 
+def double_readings(piece: str) -> list[str]:
+    """A word of letters as written, and without one letter of each double; longer ones have their best path only."""
+    if not _DOUBLED.search(piece.lower()):
+        return []
+    core = _core(piece)
+    if len(core) >= LONGEST or not core.isalpha() or not _DOUBLED.search(core) or _DRAGGED.search(core):
+        return []
+    return [core, *(core[:i] + core[i + 1 :] for i in range(1, len(core)) if core[i] == core[i - 1])]
+
+
 class _Words(dict):
-    """Restored word of a piece."""
+    """Restored word of a piece; ``doubles`` and ``runs`` have further readings of words with doubles and of short pieces."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        # Plain lists: single numbers of an array are slow to read.
+        self.model = model.tolist()
+        self.doubles: dict[str, list[str]] = {}
+        self.runs: dict[str, list[str]] = {}
+
+    def joined(self, run: str) -> list[str]:
+        pieces = [core for core in map(_core, run.split()) if core]
+        name = " ".join(pieces)
+        if name not in self.runs:
+            found = joined_words(pieces, self.model)
+            if len(self.runs) >= WORDS_KEPT or len(name) >= 40:
+                return found
+            self.runs[name] = found
+        return self.runs[name]
 
     def __missing__(self, piece: str) -> str:
         word = restored_word(piece, self.model)
-        if len(self) < WORDS_KEPT and len(piece) < 40:
+        if len(piece) < 40:
             self[piece] = word
+        if also := double_readings(piece):
+            self.doubles[piece] = also
         return word
 
 
 def restored_words(text: str, words: _Words) -> set[str]:
-    """Distinct restored words of a text; letters set apart by blanks are one piece, too."""
-    found = set(map(words.__getitem__, set(text.split())))
+    """Distinct restored words of a text; short pieces set apart by blanks are joined, too."""
+    # Between texts, so that the readings of this text's pieces are all there.
+    if len(words) >= WORDS_KEPT or len(words.doubles) >= WORDS_KEPT:
+        words.clear()
+        words.doubles.clear()
+    pieces = set(text.split())
+    found = set(map(words.__getitem__, pieces))
+    for piece in pieces & words.doubles.keys():
+        found.update(words.doubles[piece])
     for spaced in _SPACED.findall(text):
         found.add(words["".join(spaced.split())])
+    for run in _SHORT_RUN.findall(text):
+        found.update(words.joined(run))
     found.discard("")
     return found
 
@@ -272,8 +383,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> T
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text for toxicity.
 
-    Pieces with signs, digits or dragged letters inside, and letters set apart, form a lattice of
-    readings; the best path under a letter language model of all documents is the restored word.
+    Pieces with signs, digits or doubled letters inside, and runs of short pieces set apart by any
+    blanks, form a lattice of readings; the best path under a letter language model of all
+    documents is the restored word. Over runs the model also chooses the borders of words.
     A text's score is the calibrated evidence of its distinct restored words.
 
     Null and empty texts have no evidence, repeated rows the same score each, null ids are scored

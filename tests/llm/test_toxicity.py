@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,31 @@ def test_restored_words(tables):
     assert "blornak" in restored_words("so b l o r n a k it is", words)
 
 
+def test_letters_set_apart_beside_short_words(tables):
+    words = _Words(language_model(texts(tables[0])))
+    for word in BAD:
+        twos = " ".join(word[k : k + 2] for k in range(0, len(word), 2))
+        for form in (" ".join(word), "  ".join(word), "\n".join(word), twos, twos.replace(" ", "\t \n"), " ".join(word) + "!!!"):
+            for text in (form, f"so {form} it is", f"a {form}", f"I {form}", f"y {form} à", f"{form} a", f"as a {form} i"):
+                assert word in restored_words(text, words), text
+    assert "blornak" in restored_words("b l o r n a k a g r i m p u s", words) and "grimpus" in restored_words("b l o r n a k a g r i m p u s", words)
+
+
+def test_doubled_letters(tables):
+    words = _Words(language_model(texts(tables[0])))
+    for word in BAD:
+        for k in range(len(word)):
+            assert word in restored_words(f"the {word[: k + 1]}{word[k:]}, then", words)
+    assert {"letters", "walks"} <= restored_words("Letters walks", words)
+
+
+def test_long_runs_of_short_pieces(tables):
+    words = _Words(language_model(texts(tables[0])))
+    start = time.time()
+    restored_words("a b " * 5_000 + "ab\n" * 5_000 + "x! " * 5_000 + "aabbccdd" * 5_000, words)
+    assert time.time() - start < 60
+
+
 def test_trigrams_count_every_letter():
     counts = letter_trigrams(["Ab a", "", "日b"]).reshape(SIZE, SIZE, SIZE)
     a, b, border, other = 0, 1, SIZE - 2, SIZE - 1
