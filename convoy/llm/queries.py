@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convoy.llm.common import table
 from convoy.llm.decontaminate import benchmark_passages
 from convoy.llm.exact_dedup import exact_duplicates
 from convoy.llm.html_extract import main_text
+from convoy.llm.line_dedup import drop_repeated_lines
 from convoy.llm.ngram_join import jaccard_components
 from convoy.llm.packing import pack_best_fit
 from convoy.llm.pii import personal_data
@@ -67,6 +69,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 #: The 256 remainders of the reflected polynomial 0xEDB88320, then a fold over the bytes.
@@ -127,4 +135,15 @@ SELECT doc_id,
        row_number() OVER w = 1 AS kept,
        sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)""",
+    "op11_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+keyed AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))) AS key
+  FROM lines),
+frequent AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id""",
 }
