@@ -12,7 +12,7 @@ from tests_helpers import same_rows
 
 def test_registered():
     names = entry.queries()
-    assert sorted(int(m[1]) for m in (re.match(r"op(\d+)_", k) for k in names) if m) == list(range(1, 12))
+    assert sorted(int(m[1]) for m in (re.match(r"op(\d+)_", k) for k in names) if m) == list(range(1, 14))
     assert "pipeline" in names and "pipeline" not in entry.oracle_sql()
 
 
