@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,22 +138,46 @@ def features_of_slices(
     ``slope_minutes`` (the slice width), gaps or not. The ordered part works on blocks of
     ``block_slices`` slices, so a busy entity is spread over many tasks.
     """
-    minutes = float(width_minutes if slope_minutes is None else slope_minutes)
-    labels = [c for c in ("failure_type", "time_to_failure") if c in slices.columns]
+    scanned = scan_slices(slices, width_minutes, elevated_threshold, block_slices)
+    return features_of_scan(scanned, float(width_minutes if slope_minutes is None else slope_minutes), min_records)
+
+
+HISTORY = [f"avg_{m}" for m in MEASURES] + ["stddev_battery_voltage"]
+
+
+def scan_slices(
+    slices: DataFrame, width_minutes: int, elevated_threshold: float, block_slices: int, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Slices with the two before them (``_prev1``, ``_prev2``) and the running sums.
+
+    A slice with ``carried`` set stands for all up to it: its ``carried`` values (a struct of
+    volatility and elevated, each null where they are counted by a later one) are added in
+    place of its own. ``keep`` are columns that stay, and that the previous slices show, too.
+    """
     block_seconds = width_minutes * 60 * block_slices
-    slices = slices.withColumn("_block", F.floor(epoch_seconds(F.col("slice_start")) / F.lit(block_seconds))).withColumn(
-        "_elevated",
-        F.when(F.col("stddev_battery_voltage") > elevated_threshold, 1).otherwise(0).cast("long"),
-    ).drop("slice_start")
-    scanned = scan_blocks(
-        slices,
-        ["entity_id"],
-        "_block",
-        ["feature_timestamp"],
-        values=[f"avg_{m}" for m in MEASURES] + ["stddev_battery_voltage"],
-        sums=["stddev_battery_voltage", "_elevated"],
+    volatility = F.col("stddev_battery_voltage")
+    elevated = F.when(volatility > elevated_threshold, 1).otherwise(0).cast("long")
+    if "carried" in slices.columns:
+        volatility = F.when(F.col("carried").isNotNull(), F.col("carried.volatility")).otherwise(volatility)
+        elevated = F.when(F.col("carried").isNotNull(), F.col("carried.elevated")).otherwise(elevated)
+    slices = slices.withColumns(
+        {
+            "_block": F.floor(epoch_seconds(F.col("slice_start")) / F.lit(block_seconds)),
+            "_elevated": elevated,
+            "_volatility": volatility,
+        }
+    )
+    if "slice_start" not in keep:
+        slices = slices.drop("slice_start")
+    return scan_blocks(
+        slices, ["entity_id"], "_block", ["feature_timestamp"], values=[*HISTORY, *keep], sums=["_volatility", "_elevated"]
     )
 
+
+def features_of_scan(scanned: DataFrame, minutes: float, min_records: int) -> DataFrame:
+    """The features of scanned slices with at least ``min_records`` rows."""
+    labels = [c for c in ("failure_type", "time_to_failure") if c in scanned.columns]
+
     def change(name: str) -> Column:
         return F.col(name) - F.col(f"_prev1.{name}")
 
@@ -165,7 +191,7 @@ def features_of_slices(
         *[_zero_if_null(change(f"avg_{m}") / minutes, f"slope_{m}") for m in MEASURES],
         _rolling_mean("avg_engine_temp").alias("rolling_avg_engine_temp"),
         _rolling_mean("avg_trans_oil_pressure").alias("rolling_avg_trans_oil_pressure"),
-        _zero_if_null(F.col("_run_stddev_battery_voltage"), "cumulative_volatility"),
+        _zero_if_null(F.col("_run__volatility"), "cumulative_volatility"),
         _zero_if_null(F.col("_run__elevated"), "elevated_window_count"),
         _zero_if_null(change("stddev_battery_voltage"), "volatility_delta"),
         _zero_if_null(acceleration("avg_engine_temp"), "temp_acceleration"),

@@ -17,6 +17,9 @@ STRETCH_SLICES = 3
 ELEVATED = 0.87
 BLOCK_SLICES = 8
 
+# Slices a stream keeps open behind the newest reading.
+OPEN_SLICES = 3
+
 # State is built up to the cut, in the middle of a slice, and then brought up to date.
 CUT = datetime(2024, 1, 20, 5, 17)
 

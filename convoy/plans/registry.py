@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from convoy.schemas import MARKERS, PREDICTIONS
 from convoy.settings import CLASS_LABELS, MILES_PER_EPOCH, scratch_path, staged
 from convoy.sources.csv import read_csv
 from convoy.sources.records import json_records as to_records
-from convoy.sources.store import StateTable
 from convoy.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,11 +609,16 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def _two_runs(spark: SparkSession, sf: str, name: str, run: Callable[[DataFrame, str], None]) -> str:
-    """Run a stream twice over a growing folder: events up to the cut, then the rest."""
+def _two_runs(spark: SparkSession, sf: str, name: str, run: Callable[[DataFrame, str], None], late: bool = False) -> str:
+    """Run a stream twice over a growing folder: events up to the cut, then the rest.
+
+    With ``late`` a third of the events of the day before the cut come with the rest.
+    """
     work = scratch_path(spark, name)
     events = fx.table(spark, sf, "events")
     early = F.col("ts") < ntz(p.CUT)
+    if late:
+        early = early & ~((F.col("ts") >= ntz(p.CUT - timedelta(days=1))) & (F.pmod("event_id", F.lit(3)) == 0))
     for part in (early, ~early):
         events.filter(part).write.mode("append").parquet(f"{work}/events")
         run(fx.with_measures(_stream(spark, f"{work}/events")), work)
@@ -622,7 +627,8 @@ def _two_runs(spark: SparkSession, sf: str, name: str, run: Callable[[DataFrame,
 
 def _prediction_stream(spark: SparkSession, work: str, **parts: bool) -> jobs.PredictionStream:
     rule = jobs.FeatureRule(p.WIDTH_MINUTES, p.MIN_RECORDS, p.ELEVATED, p.BLOCK_SLICES)
-    return jobs.PredictionStream(spark, f"{work}/state", p.SERIES_CLOCK, scoring.score_rules, rule, **parts)
+    delay = p.OPEN_SLICES * p.WIDTH_MINUTES
+    return jobs.PredictionStream(spark, f"{work}/state", p.SERIES_CLOCK, scoring.score_rules, rule, **parts, delay_minutes=delay)
 
 
 @query
@@ -638,17 +644,18 @@ def stream_slice_agg(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     def run(readings: DataFrame, work: str) -> None:
-        jobs.run_latest(readings, StateTable(spark, f"{work}/latest", jobs.LATEST), f"{work}/checkpoint")
+        jobs.run_latest(readings, jobs.latest_store(spark, f"{work}/latest"), f"{work}/checkpoint")
 
     work = _two_runs(spark, sf, "latest", run)
-    return StateTable(spark, f"{work}/latest", jobs.LATEST).read()
+    return jobs.latest_store(spark, f"{work}/latest").read("latest")
 
 
 @query
 def stream_features(spark: SparkSession, sf: str) -> DataFrame:
-    work = _two_runs(
-        spark, sf, "features", lambda rows, work: _prediction_stream(spark, work, with_predictions=False).run(rows)
-    )
+    def run(readings: DataFrame, work: str) -> None:
+        _prediction_stream(spark, work, with_predictions=False).run(readings)
+
+    work = _two_runs(spark, sf, "features", run, late=True)
     return rounded(_prediction_stream(spark, work).features())
 
 
