@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convoy.operators.fleet import leg_position, nearest_mile, route_extent
 from convoy.operators.nearest import nearest
-from convoy.settings import DEFAULT_TTF_HOURS, MILES_PER_EPOCH, SAFETY_FACTOR, SPEED_MPH
+from convoy.settings import DEFAULT_TTF_HOURS, MILES_PER_EPOCH, SAFETY_FACTOR, SPEED_MPH, staged
 
 # Report sizes, score steps and the wording of the advice.
 RECONNECT_NODES = 5
@@ -25,6 +25,9 @@ RECONNECT_TEXT = "%s is off-route — %d mi (%.1f hrs), reconnects at %s. %s mi
 NEARBY_TEXT = "%s is %d mi away (%.1f hrs). Reachable safely. %s mi detour."
 EMERGENCY_TEXT = "EMERGENCY: Closest is %s at %d mi. TTF too short to reach any center safely!"
 
+#: Width of the bands by which center nodes are found within a range.
+BAND_MILES = 100.0
+
 
 def nearest_path_node(trucks: DataFrame, path_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node of its own path nearest to each truck, on the plane in degrees."""
@@ -178,6 +181,40 @@ def _approaches(departures: DataFrame, node_detours: DataFrame, snapped: DataFra
     )
 
 
+def _ladder(node_detours: DataFrame) -> DataFrame:
+    """The center nodes of each departure node by distance: place, band of miles, block of places."""
+    by_miles = W.partitionBy("from_node_id").orderBy("detour_miles", "center_node")
+    place = F.row_number().over(by_miles).cast("long")
+    return node_detours.select(
+        "from_node_id", "center_node", "detour_miles", place.alias("place"), F.floor(F.col("detour_miles") / BAND_MILES).alias("band")
+    ).withColumn("block", F.floor((F.col("place") - 1) / OPTION_ROWS))
+
+
+def _nearby_drives(leaving: DataFrame, ladder: DataFrame, furthest: float, more: int) -> tuple[DataFrame, DataFrame]:
+    """Drives that may matter to a truck, and how far each departure has been looked at.
+
+    For each departure the center nodes within the safe range, by bands of miles, and at least
+    ``more`` places beyond. Both are joins on equal keys that meet only rows they return.
+    """
+    keys = ["entity_id", "from_node_id"]
+    reach = F.least(F.col("safe_miles") - F.col("to_departure"), F.lit(furthest))
+    banded = leaving.withColumn("_reach", reach).filter(F.col("_reach") >= 0)
+    banded = banded.withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_reach") / BAND_MILES))))
+    within = staged(banded.join(ladder, ["from_node_id", "band"]).select(*leaving.columns, "center_node", "detour_miles", "place"), "within")
+    # The bands hold the first places of a departure without a gap.
+    ends = within.groupBy(*keys).agg(F.max("place").alias("_within"))
+    further = leaving.join(ends, keys, "left").withColumn("_within", F.coalesce("_within", F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("_within") / OPTION_ROWS), F.floor((F.col("_within") + more - 1) / OPTION_ROWS))
+    beyond = further.withColumn("block", F.explode(blocks)).join(ladder, ["from_node_id", "block"]).filter(F.col("place") > F.col("_within"))
+    drives = staged(within.unionByName(beyond.select(*within.columns)), "drives")
+    sizes = ladder.groupBy("from_node_id").agg(F.count(F.lit(1)).alias("_all"))
+    seen = drives.groupBy(*keys, "to_departure").agg(F.max("place").alias("_seen"), F.max("detour_miles").alias("_miles"))
+    left = seen.join(sizes, "from_node_id").filter(F.col("_seen") < F.col("_all"))
+    # What has not been looked at is out of the safe range and no nearer than this.
+    bounds = left.groupBy("entity_id").agg(F.min(UNSAFE_SCORE + F.col("to_departure") + F.col("_miles")).alias("bound"))
+    return drives, bounds
+
+
 def scored_stops(
     departures: DataFrame,
     detours: DataFrame,
@@ -185,26 +222,78 @@ def scored_stops(
     positions: DataFrame,
     paths: DataFrame,
     predictions: DataFrame,
+    options: int = OPTION_ROWS,
 ) -> DataFrame:
-    """Best approach per truck and center node, with distance, detour and score.
+    """Best approach per truck and center node, with distance, detour and score, for all center
+    nodes that can be among a truck's ``options`` best.
 
     Everything a score depends on is a matter of nodes, so scoring runs on node pairs;
-    centers join only afterwards.
+    centers join only afterwards. A truck meets the center nodes on its path, those within its
+    safe range, and beyond it the nearest ones, which score by their distance: once its last
+    option scores better than any drive not looked at could, it is done (an equal score is
+    looked at). Other trucks look further in the next round.
     """
-    drives = _approaches(departures, _node_detours(detours), snapped, positions)
-    candidates = reconnect_candidates(snapped, positions)
+    leaving = staged(_leaving(departures, snapped, positions, predictions), "leaving")
+    node_detours = staged(_node_detours(detours), "node-detours")
+    ladder = staged(_ladder(node_detours), "ladder")
+    furthest = ladder.agg(F.max("detour_miles")).first()[0] or 0.0
+    on_path = snapped.select("entity_id", F.col("node_id").alias("center_node"), F.col("road_miles").alias("center_miles"))
+    on_route = leaving.join(on_path, "entity_id").join(node_detours, ["from_node_id", "center_node"])
+    candidates = staged(reconnect_candidates(snapped, positions), "candidates")
+
+    done, more = None, options
+    while True:
+        drives, bounds = _nearby_drives(leaving, ladder, furthest, more)
+        aside = drives.drop("place").join(on_path, ["entity_id", "center_node"], "left_anti").withColumn("center_miles", F.lit(None).cast("double"))
+        scored = staged(_best_approaches(aside.unionByName(on_route), candidates, paths), "scored")
+        nth = F.row_number().over(W.partitionBy("entity_id").orderBy("score"))
+        last = scored.select("entity_id", "score", nth.alias("_nth")).filter(F.col("_nth") <= options)
+        last = last.filter(F.col("_nth") == options).select("entity_id", F.col("score").alias("_last"))
+        short = F.col("_last").isNull() | (F.col("_last") >= F.col("bound"))
+        again = staged(bounds.join(last, "entity_id", "left").filter(short).select("entity_id"), "again")
+        settled = scored.join(again, "entity_id", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if again.isEmpty():
+            return done
+        leaving = leaving.join(again, "entity_id", "left_semi")
+        on_route = on_route.join(again, "entity_id", "left_semi")
+        more *= 4
+
+
+def _leaving(departures: DataFrame, snapped: DataFrame, positions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Per truck and departure node: where it is, the miles to the node, and how far it can go safely."""
+    here = F.col("position_miles")
+    hours = predictions.select("entity_id", F.col("predicted_hours_to_failure").alias("_hours"))
+    return (
+        departures.select("entity_id", F.col("node_id").alias("from_node_id"))
+        .join(snapped.select("entity_id", F.col("node_id").alias("from_node_id"), "road_miles"), ["entity_id", "from_node_id"], "left")
+        .join(positions.select("entity_id", "position_miles", "is_return_trip"), "entity_id")
+        .join(hours, "entity_id", "left")
+        .withColumn("ttf_hours", F.coalesce("_hours", F.lit(DEFAULT_TTF_HOURS)))
+        .select(
+            "entity_id",
+            "from_node_id",
+            "position_miles",
+            "is_return_trip",
+            "ttf_hours",
+            F.abs(here - F.coalesce("road_miles", here)).alias("to_departure"),
+            (F.col("ttf_hours") * SAFETY_FACTOR * SPEED_MPH).alias("safe_miles"),
+        )
+    )
+
+
+def _best_approaches(drives: DataFrame, candidates: DataFrame, paths: DataFrame) -> DataFrame:
+    """The best of a truck's drives to each center node, priced with the way back to the route."""
+    drives = drives.withColumn("miles_to_center", F.col("to_departure") + F.col("detour_miles")).drop("detour_miles")
     off_route = drives.filter(F.col("center_miles").isNull()).select(
         "entity_id", "from_node_id", "center_node", "miles_to_center"
     )
     back = reconnect_best(off_route, candidates, paths).drop("miles_to_center")
-    hours = predictions.select("entity_id", F.col("predicted_hours_to_failure").alias("_hours"))
     here, there = F.col("position_miles"), F.col("center_miles")
     on_route = F.col("on_route")
     distance, added = F.col("effective_dist"), F.col("added_miles")
     priced = (
         drives.join(back, ["entity_id", "from_node_id", "center_node"], "left")
-        .join(hours, "entity_id", "left")
-        .withColumn("ttf_hours", F.coalesce("_hours", F.lit(DEFAULT_TTF_HOURS)))
         .withColumn("on_route", there.isNotNull())
         .withColumn(
             "ahead",
@@ -215,7 +304,7 @@ def scored_stops(
             "detour_miles",
             F.when(F.col("ahead"), 0.0).otherwise(F.coalesce(F.when(~on_route, added), distance * 2)),
         )
-        .withColumn("safe", distance <= F.col("ttf_hours") * SAFETY_FACTOR * SPEED_MPH)
+        .withColumn("safe", distance <= F.col("safe_miles"))
         .withColumn(
             "score",
             F.when(F.col("ahead") & F.col("safe"), distance)
@@ -395,7 +484,7 @@ def detour_lookup(
     direction_aware: bool = False,
     requests: DataFrame | None = None,
 ) -> DataFrame:
-    """Stored detours from the path node nearest to each truck, to the centers it asks for.
+    """Stored detours (of ``detour_table``) from the path node nearest to each truck, to the centers it asks for.
 
     ``requests`` (entity_id, to_center_id) names the pairs asked for; without it a truck gets
     the detours to every center. By default the truck stands at the miles driven since the start, return legs ignored;

@@ -443,7 +443,7 @@ def _detours(spark: SparkSession, sf: str) -> DataFrame:
 class _Stops:
     """What the stop queries share for one run."""
 
-    def __init__(self, spark: SparkSession, sf: str, with_paths: bool = False):
+    def __init__(self, spark: SparkSession, sf: str, with_paths: bool = False, all_drives: bool = False):
         self.kept = _State(spark, sf)
         # These small tables (one row per truck, or per truck and path node) feed several
         # branches each, so they are computed once.
@@ -457,8 +457,10 @@ class _Stops:
         self.positions = staged(standing, "positions")
         if with_paths:
             self.edges = _edges(spark, sf)
-            self.paths = graph.shortest_paths(fx.adjacency(self.edges), nodes)
             self.centers = fx.service_centers(spark, sf)
+            # Drives start at a departure node or at a center; stored lines start anywhere.
+            starts = self.departures().select("node_id").unionByName(self.centers.select("node_id"))
+            self.paths = graph.shortest_paths(fx.adjacency(self.edges), nodes if all_drives else starts)
             self.detours = graph.detour_table(self.paths, self.centers)
 
     def departures(self) -> DataFrame:
@@ -550,7 +552,7 @@ def reconnect_best(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reconnect_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    shared = _Stops(spark, sf, with_paths=True)
+    shared = _Stops(spark, sf, with_paths=True, all_drives=True)
     stored = _stored_lines(shared.paths, shared.edges)
     pairs = staged(shared.reconnections().select("center_node", "reconnect_node").distinct(), "pairs")
     return rounded(stops.reconnect_geometry(pairs, shared.paths, stored, fx.nodes(spark, sf)))
@@ -589,7 +591,7 @@ def service_ranking(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def option_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """The drives of the ranked options off the route."""
-    shared = _Stops(spark, sf, with_paths=True)
+    shared = _Stops(spark, sf, with_paths=True, all_drives=True)
     options = staged(shared.ranking().filter("NOT on_route").select("entity_id", "rank", F.col("departure_node").alias("from_node_id"), F.col("node_id").alias("to_node_id")), "options")
     drawn = stops.drive_geometry(options, shared.paths, _stored_lines(shared.paths, shared.edges), fx.nodes(spark, sf))
     found = options.join(drawn, ["from_node_id", "to_node_id"])

@@ -58,6 +58,27 @@ def test_paths_equal_dijkstra(spark, seed):
             assert found[a, b][0] == found[b, a][0]
 
 
+def test_a_round_writes_its_frontier_only(spark, monkeypatch):
+    """On a chain every round improves one label, and the log is merged by levels."""
+    written = []
+    write = graph._write
+
+    def counted(df, label):
+        path = write(df, label)
+        written.append((label, spark.read.parquet(path).count()))
+        return path
+
+    monkeypatch.setattr(graph, "_write", counted)
+    monkeypatch.setattr(graph, "MERGED", 3)
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 1.5) for i in range(11)]
+    found = search(spark, chain + [("n00", "n05", 100.0)], ["n00"])
+    assert found["n00", "n11"] == (16.5, [f"n{i:02d}" for i in range(12)]) and len(found) == 12
+    # Node 5 is reached twice, so it and the nodes behind it are improved twice.
+    assert sum(n for label, n in written if label == "frontier") == 12 + 7
+    assert max(n for label, n in written if label == "reached") == 2
+    assert sum(n for label, n in written if label == "labels") < 3 * 19
+
+
 # One truck on the path p0..p4 at road miles 0,100,..,400; centers on and off it.
 MILES = {f"p{i}": 100.0 * i for i in range(5)}
 ROADS = [("p1", "off", 30.0), ("off", "p2", 40.0), ("p2", "far", 5000.0)]
@@ -148,8 +169,47 @@ def test_detour_lookup_ignores_or_honours_the_way_back(spark, rows):
     route = spark.createDataFrame([("e",)], "entity_id string")
     walk = spark.createDataFrame([("e", 0, "s"), ("e", 1, "t")], "entity_id string, sequence_num bigint, node_id string")
     nodes = spark.createDataFrame([("s", 0.0, 0.0), ("t", 2.0, 0.0)], "node_id string, latitude double, longitude double")
-    detours = spark.createDataFrame([("s", 1, 5.0, 0.1, "s"), ("t", 1, 6.0, 0.1, "t")], "from_node_id string, to_center_id bigint, distance_miles double, duration_hours double, path_nodes string")
+    detours = spark.createDataFrame([("s", 1, "c", 5.0, 0.1, "s"), ("t", 1, "c", 6.0, 0.1, "t")], "from_node_id string, to_center_id bigint, to_center_node_id string, distance_miles double, duration_hours double, path_nodes string")
     epoch = int(390 / (55 * 5 / 3600))  # almost home again
     assert rows(stops.detour_lookup(marks, route, walk, nodes, detours, epoch), "from_node_id") == [("t",)]
     assert rows(stops.detour_lookup(marks, route, walk, nodes, detours, epoch, direction_aware=True), "from_node_id") == [("s",)]
     assert graph.detour_candidates(detours.withColumn("distance_miles", F.lit(-1.0)), spark.createDataFrame([(1, "n", "c", "s", 0.0, 0.0)], "center_id bigint, name string, city string, state_code string, latitude double, longitude double")).isEmpty()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ranking_looks_at_few_drives_and_misses_none(spark, seed, monkeypatch):
+    """Many center nodes: the pruned ranking equals that of all drives, ties in distance included."""
+    rnd = random.Random(seed)
+    names = [f"c{i:03d}" for i in range(150)]
+    roads = [(names[rnd.randrange(i)], names[i], float(rnd.choice([20, 40, 40, 90]))) for i in range(1, 150)]
+    roads += [(b, a, m) for a, b, m in roads]
+    adjacent = spark.createDataFrame(roads, ADJACENT)
+    entities = {"e1": (0.05, False), "e2": (3.0, True), "e3": (None, False), "e4": (0.0, False)}
+    path = {e: rnd.sample(names, 6) for e in entities}
+    walk = [(e, n, i, 60.0 * i) for e, ns in path.items() for i, n in enumerate(ns)]
+    snapped = spark.createDataFrame(walk, "entity_id string, node_id string, sequence_num int, road_miles double")
+    spots = spark.createDataFrame([(e, 0.0, 0.0, 130.0, back) for e, (_, back) in entities.items()], "entity_id string, latitude double, longitude double, position_miles double, is_return_trip boolean")
+    close = spark.createDataFrame([(e, ns[rnd.randrange(6)]) for e, ns in path.items()], "entity_id string, node_id string")
+    centers = spark.createDataFrame([(i, f"n{i}", "City", "ST", n, 1.0, 2.0) for i, n in enumerate(names * 2)], "center_id bigint, name string, city string, state_code string, node_id string, latitude double, longitude double")
+    departures = stops.departure_nodes(snapped, spots, close)
+    paths = stops.staged(graph.shortest_paths(adjacent, centers.select("node_id")), "test-paths")
+    detours = graph.detour_table(paths, centers)
+    hours = spark.createDataFrame([(e, h) for e, (h, _) in entities.items()], "entity_id string, predicted_hours_to_failure double")
+    rounds, looked = [], stops._nearby_drives
+
+    def counted(*args):
+        drives, bounds = looked(*args)
+        rounds.append(drives.count())
+        return drives, bounds
+
+    monkeypatch.setattr(stops, "_nearby_drives", counted)
+    monkeypatch.setattr(stops, "BAND_MILES", 30.0)
+
+    def ranked(**options):
+        scored = stops.scored_stops(departures, detours, snapped, spots, paths, hours, **options)
+        return sorted(tuple(r) for r in stops.service_ranking(scored, centers).drop("reconnect_path").collect())
+
+    pruned = ranked()
+    pruned_rounds, rounds[:] = list(rounds), []
+    assert pruned == ranked(options=200)
+    assert pruned_rounds[0] < rounds[0] / 2
