@@ -86,12 +86,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written to a table in the shared folder and read back.
 
     Cuts lineage for good: a lost executor loses nothing, later readers prune columns, and
-    their plans know the true size. The caller's cluster policy expires the folder.
+    their plans know the true size. ``release`` deletes the table after its last reader; what
+    a result still reads is left to the cluster's policy for the folder.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` returned, after their last reader."""
+    for table in tables:
+        discard(table.sparkSession, table._staged_at)
 
 
 def discard(spark: SparkSession, path: str) -> None:
