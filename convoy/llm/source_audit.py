@@ -16,8 +16,9 @@ MIN_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
 #: Keys of a shard (on average), keys and key bytes of the shards broadcast for one pass over the texts.
 SHARD_KEYS, PASS_KEYS, PASS_BYTES = 1 << 14, 1 << 20, 1 << 25
-#: Distinct words a task holds before it looks them up or sends them on; slots it counts in at a time.
-HELD_WORDS, HELD_SLOTS = 300_000, 1 << 25
+#: Distinct words a task holds before it looks them up or sends them on, rows after which it looks how
+#: many they are; slots it counts in at a time, of 32 bits, and words it counts in them at most.
+HELD_WORDS, LOOK_AFTER, HELD_SLOTS, SLOT_WORDS = 200_000, 500, 1 << 25, 1 << 30
 #: Cells (sources x slots) of one block of the comparison.
 BLOCK_CELLS = 1 << 22
 #: Places of a level of a perfect hash for each key that is left.
@@ -247,10 +248,10 @@ def _recount(docs: DataFrame, shared) -> DataFrame:
         def look_up() -> None:
             for group, counts in waiting.items():
                 slot = shards.slots(group[0], list(counts))
-                n = np.fromiter(counts.values(), np.int64, len(counts))
+                n = np.fromiter(counts.values(), np.int32, len(counts))
                 low, high = shards.range[group[0]]
                 if group not in dense:
-                    dense[group] = np.zeros(high - low, np.int64)
+                    dense[group] = np.zeros(high - low, np.int32)
                 dense[group][slot[slot >= 0] - low] += n[slot >= 0]
             waiting.clear()
 
@@ -268,14 +269,17 @@ def _recount(docs: DataFrame, shared) -> DataFrame:
                     )
             dense.clear()
 
+        counted = 0
         for names, words in _words(batches):
-            for group, terms in zip(names, words):
+            for row, (group, terms) in enumerate(zip(names, words)):
                 if group[0] in shards.range:
                     waiting.setdefault(group, Counter()).update(terms)
-            if sum(map(len, waiting.values())) > HELD_WORDS:
-                look_up()
-            if sum(map(len, dense.values())) > HELD_SLOTS:
-                yield from rows()
+                    counted += len(terms)
+                if row % LOOK_AFTER == 0 and sum(map(len, waiting.values())) > HELD_WORDS:
+                    look_up()
+                    if sum(map(len, dense.values())) > HELD_SLOTS or counted > SLOT_WORDS:
+                        yield from rows()
+                        counted = 0
         look_up()
         yield from rows()
 
