@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoy.settings import staged
+from convoy.settings import release, staged
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,17 +14,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label among a node and its neighbours, then the label of
     that label, and writes the labels to the shared folder; it ends when none changed. All
     of it is keyed aggregates and joins, nothing is gathered on the driver but one number.
-    Links to oneself only name a node, null ends are ignored, no links give no rows.
+    Links to oneself only name a node, null ends are ignored, no links give no rows. The result
+    is a staged table.
     """
     links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     both = staged(links.union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
+    table = labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         moved = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         moved = moved.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
-        moved = staged(moved, "labels")
-        labels = moved.select("node", "root")
-        if moved.filter("old <> root").isEmpty():
+        before, table = table, staged(moved, "labels")
+        release(before)
+        labels = table.select("node", "root")
+        if table.filter("old <> root").isEmpty():
+            release(both)
+            labels._staged_at = table._staged_at
             return labels

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from convoy.llm.common import chunks, texts
 from convoy.llm.components import connected_components
-from convoy.settings import staged
+from convoy.settings import release, staged
 
 #: Sets that one tree holds at most; a larger group is split into blocks.
 BLOCK = 600
@@ -272,24 +272,33 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     sets = staged(docs.mapInArrow(show, schema), "shown")
 
     # Equal sets show equal tokens, so any of them will do.
-    nodes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("shown").alias("shown"))
-    nodes = staged(nodes.withColumn("tag", F.xxhash64("node")), "nodes")
-    candidates = _prefixes(nodes.select("node", "tag", "n", "shown"), bounds)
+    firsts = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("shown").alias("shown"))
+    firsts = staged(firsts.withColumn("tag", F.xxhash64("node")), "firsts")
+    # Tables with tokens are large; each goes when it has been read for the last time.
+    members, nodes = staged(sets.drop("shown"), "members"), staged(firsts.select("node", "doc_id"), "nodes")
+    release(sets)
+    candidates = _prefixes(firsts.select("node", "tag", "n", "shown"), bounds)
+    release(firsts)
     routes = staged(_routes(candidates), "routes")
+    release(candidates)
 
-    wanted = routes.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node")
-    tokens = staged(_tokens(docs.join(wanted, "doc_id"), n), "tokens").dropDuplicates(["node"])
+    wanted = routes.select("node").distinct().join(nodes, "node").select("doc_id", "node")
+    whole = staged(_tokens(docs.join(wanted, "doc_id"), n), "tokens")
+    tokens = whole.dropDuplicates(["node"])
 
     links = staged(_links_of(routes.withColumn("root", F.col("node")).join(tokens, "node"), bounds), "links")
     several = routes.filter("blocks > 1")
     if not several.isEmpty():
-        links = staged(_cross_links(several, links, tokens, bounds), "links")
+        within, links = links, _cross_links(several, links, tokens, bounds)
+        release(within)
+    release(whole, routes)
     roots = connected_components(links)
+    release(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "root").select("node", "component_id")
-    return sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
+    return members.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
@@ -333,18 +342,20 @@ def _prefixes(firsts: DataFrame, bounds: Bounds) -> DataFrame:
     ranked = rows.join(used, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("used", "token"))).alias("by_use"))
     alone = F.size("shown") - F.size("by_use")
     length = F.size("shown") - bounds.column_common(F.col("n")) + 1 - alone
-    return (
+    found = (
         kept.join(ranked, "node")
         .withColumn("length", length.cast("int"))
         .filter("length > 0")
         .select("node", F.explode(F.slice("by_use", F.lit(1), F.col("length"))).alias("t"))
         .select("node", F.col("t.token").alias("token"))
     )
+    found = staged(found, "prefixes")
+    release(kept)
+    return found
 
 
 def _routes(prefixes: DataFrame) -> DataFrame:
     """(group, node, block, blocks): the groups a node goes to, each named by its smallest node."""
-    prefixes = staged(prefixes, "prefixes")
     heads = prefixes.groupBy("token").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("used")).filter("used > 1")
     routes = prefixes.join(heads.select("token", "group"), "token").select("group", "node").distinct()
     sizes = routes.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
@@ -375,10 +386,13 @@ def _tokens(docs: DataFrame, n: int) -> DataFrame:
 
 def _members(routes: DataFrame, links: DataFrame) -> DataFrame:
     """(group, node, blocks, root): the sets of groups that are not yet one component."""
-    members = routes.select("group", "node", "blocks").distinct().join(connected_components(links), "node", "left")
+    roots = connected_components(links)
+    members = routes.select("group", "node", "blocks").distinct().join(roots, "node", "left")
     members = members.withColumn("root", F.coalesce("root", "node"))
     open_groups = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return staged(members.join(open_groups.select("group"), "group", "left_semi"), "members")
+    members = staged(members.join(open_groups.select("group"), "group", "left_semi"), "members")
+    release(roots)
+    return members
 
 
 def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds: Bounds) -> DataFrame:
@@ -395,7 +409,10 @@ def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds:
         few = members.withColumn("nth", nth).filter(F.col("nth") <= SPEAKERS)
         counts = few.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
         few = few.join(counts, "group").select("group", F.expr(f"cast(pmod(xxhash64(node, {turn + 7}), parts) as int)").alias("block"), "node", "root")
-        found = staged(found.union(_links_of(few.join(tokens, "node"), bounds)), "links")
+        earlier, found = found, staged(found.union(_links_of(few.join(tokens, "node"), bounds)), "links")
+        release(members)
+        if earlier is not links:
+            release(earlier)
 
     members = _members(routes, found)
     parts = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -410,7 +427,9 @@ def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds:
         "group", "node", "root", F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("column")
     )
     tasks = outside.unionByName(inside).select("group", F.concat_ws(":", "row", "column").alias("block"), "node", "root")
-    return found.union(_links_of(tasks.join(tokens, "node"), bounds))
+    every = staged(found.union(_links_of(tasks.join(tokens, "node"), bounds)), "links")
+    release(members, found)
+    return every
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
