@@ -32,3 +32,23 @@ def connected_components(links: DataFrame) -> DataFrame:
             release(both)
             labels._staged_at = table._staged_at
             return labels
+
+
+def merged_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) of earlier ones, a staged table that goes, and more links (a, b).
+
+    Only links between different components count, and they count as links of the components'
+    roots, so the rounds run over a graph of components and not over all nodes again.
+    """
+    of_a, of_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    between = staged(ends.filter("a <> b").distinct(), "between")
+    if between.isEmpty():
+        release(between)
+        return roots
+    above = connected_components(between)
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    table = staged(moved.unionByName(fresh), "roots")
+    release(between, above, roots)
+    return table

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convoy.llm.common import chunks, texts
-from convoy.llm.components import connected_components
+from convoy.llm.components import connected_components, merged_components
 from convoy.settings import release, staged
 
 #: Sets that one tree holds at most; a larger group is split into blocks.
@@ -208,8 +208,28 @@ def _groups(batches: Iterator, keys: int) -> Iterator[tuple[tuple, list[list]]]:
         yield current, rows
 
 
+def _stars(links: list[tuple[int, int]], nodes: list[str]) -> dict[str, str]:
+    """The smallest member of its component for every other node of the links."""
+    parent: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while parent.get(i, i) != i:
+            parent[i] = i = parent.get(parent[i], parent[i])
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            low, high = (a, b) if nodes[a] < nodes[b] else (b, a)
+            parent[high] = low
+    return {nodes[i]: nodes[top(i)] for i in parent}
+
+
 def _links_of(groups: DataFrame, bounds: Bounds) -> DataFrame:
-    """Links (a, b) of rows (group, block, node, root, tokens), one tree for each (group, block)."""
+    """Links (a, b) of rows (group, block, node, root, tokens), one tree for each (group, block).
+
+    The links found in a tree are handed on as stars: each set with the smallest it reaches there.
+    """
 
     def join(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -219,9 +239,9 @@ def _links_of(groups: DataFrame, bounds: Bounds) -> DataFrame:
             nodes = list(unique)
             first: dict[str, int] = {}
             linked = [first.setdefault(unique[node][0], i) for i, node in enumerate(nodes)]
-            found = tree_links([np.frombuffer(unique[node][1], np.uint64) for node in nodes], bounds, linked)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found]), pa.array([nodes[b] for _, b in found])], names=["a", "b"])
+            stars = _stars(tree_links([np.frombuffer(unique[node][1], np.uint64) for node in nodes], bounds, linked), nodes)
+            if stars:
+                yield pa.RecordBatch.from_arrays([pa.array(list(stars)), pa.array(list(stars.values()))], names=["a", "b"])
 
     dealt = groups.select("group", "block", "node", "root", "tokens").repartition("group", "block").sortWithinPartitions("group", "block")
     return dealt.mapInArrow(join, "a string, b string")
@@ -287,13 +307,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     tokens = whole.dropDuplicates(["node"])
 
     links = staged(_links_of(routes.withColumn("root", F.col("node")).join(tokens, "node"), bounds), "links")
+    roots = connected_components(links)
+    release(links)
     several = routes.filter("blocks > 1")
     if not several.isEmpty():
-        within, links = links, _cross_links(several, links, tokens, bounds)
-        release(within)
+        roots = _across_blocks(several, roots, tokens, bounds)
     release(whole, routes)
-    roots = connected_components(links)
-    release(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -384,37 +403,32 @@ def _tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(whole, "node string, tokens binary")
 
 
-def _members(routes: DataFrame, links: DataFrame) -> DataFrame:
+def _members(routes: DataFrame, roots: DataFrame) -> DataFrame:
     """(group, node, blocks, root): the sets of groups that are not yet one component."""
-    roots = connected_components(links)
     members = routes.select("group", "node", "blocks").distinct().join(roots, "node", "left")
     members = members.withColumn("root", F.coalesce("root", "node"))
     open_groups = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    members = staged(members.join(open_groups.select("group"), "group", "left_semi"), "members")
-    release(roots)
-    return members
+    return staged(members.join(open_groups.select("group"), "group", "left_semi"), "members")
 
 
-def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds: Bounds) -> DataFrame:
-    """Links across the blocks of a group, where it is not yet one component.
+def _across_blocks(routes: DataFrame, roots: DataFrame, tokens: DataFrame, bounds: Bounds) -> DataFrame:
+    """Components of the groups of several blocks, from those found within blocks.
 
     First a few sets of every component meet those of the others, dealt anew each time: blocks
     of one family, whose smallest set is not like the rest, so grow together in rows that
     are linear in the sets. Then every set outside the largest component meets every other.
     """
-    found = links
+    members = _members(routes, roots)
     for turn in range(MEETINGS):
-        members = _members(routes, found)
         nth = F.row_number().over(Window.partitionBy("group", "root").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
         few = members.withColumn("nth", nth).filter(F.col("nth") <= SPEAKERS)
         counts = few.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
         few = few.join(counts, "group").select("group", F.expr(f"cast(pmod(xxhash64(node, {turn + 7}), parts) as int)").alias("block"), "node", "root")
-        earlier, found = found, staged(found.union(_links_of(few.join(tokens, "node"), bounds)), "links")
-        release(members)
-        if earlier is not links:
-            release(earlier)
+        earlier, roots = roots, merged_components(roots, _links_of(few.join(tokens, "node"), bounds))
+        if roots is not earlier:
+            release(members)
+            members = _members(routes, roots)
 
-    members = _members(routes, found)
     parts = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(F.col("n").desc(), "root")))
     outside = members.join(parts.filter("nth > 1").select("group", "root"), ["group", "root"])
@@ -427,9 +441,9 @@ def _cross_links(routes: DataFrame, links: DataFrame, tokens: DataFrame, bounds:
         "group", "node", "root", F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("column")
     )
     tasks = outside.unionByName(inside).select("group", F.concat_ws(":", "row", "column").alias("block"), "node", "root")
-    every = staged(found.union(_links_of(tasks.join(tokens, "node"), bounds)), "links")
-    release(members, found)
-    return every
+    roots = merged_components(roots, _links_of(tasks.join(tokens, "node"), bounds))
+    release(members)
+    return roots
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
