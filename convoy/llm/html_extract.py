@@ -17,7 +17,7 @@ SAMPLE = 1_000
 
 # The roles of HTML elements, and words of class and id names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe select option button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -35,7 +35,7 @@ HINTS = re.compile(
 )
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 
-_PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
+_PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:[\"'][^>]*)?>?|[^<]+|<", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -54,16 +54,26 @@ def page_runs(page: str):
     nearest section, and whether it is a link; that of a tag is its name and the section it
     stands in, and a section's start tag is the section alone. ``block`` counts the blocks it
     lies in and ``inside`` says whether explicit markup calls it the article's, None if the page
-    has none.
+    has none. Open elements are counted by section, so a stray end tag costs no look at the stack;
+    a quote without an end goes no further than its tag's ``>``.
     """
     runs: list[tuple[str, int, str, int, bool | None]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, signature of the nearest section, left out
+    # Element, signature of the nearest section, left out, nearest block element.
+    stack: list[tuple[str, str, bool, str]] = []
+    opened: Counter = Counter()  # open elements, and those above each open section
+    scopes: list[Counter] = [Counter()]
+    endless: set[str] = set()  # raw elements that end nowhere behind
     block, at, marked = 0, 0, False
     content, out, links = 0, 0, 0
 
     def pop() -> None:
         nonlocal content, out, links
-        name, _, left_out = stack.pop()
+        name, _, left_out, _ = stack.pop()
+        opened[name] -= 1
+        if name in SECTIONS:
+            scopes.pop()
+        else:
+            scopes[-1][name] -= 1
         content -= name in CONTENT
         out -= left_out
         links -= name == "a"
@@ -77,27 +87,25 @@ def page_runs(page: str):
             if part.startswith(("<!", "<?")):
                 continue
             words = len(part.split())
-            holder = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            section = stack[-1][1] if stack else "body"
+            section, holder = (stack[-1][1], stack[-1][3]) if stack else ("body", "body")
             runs.append((f"{holder}|{section}|{'a' if links else ''}", words, part, block, bool(content and not out)))
             continue
         if match[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth][0] in SECTIONS and name not in SECTIONS:
-                    break
+            if (opened if name in SECTIONS else scopes[-1])[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             block += name in BLOCKS
             runs.append((f"</{name}|{stack[-1][1] if stack else 'body'}>", 0, "", block, bool(content and not out)))
             continue
         if name in RAW:
-            end = _RAW_END[name].search(page, at)
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end is None:
+                endless.add(name)
             runs.append((f"<{name}|{stack[-1][1] if stack else 'body'}>", 0, "", block, bool(content and not out)))
             at = end.end() if end else len(page) if name in ("script", "style") else at
             continue
-        while stack and name in CLOSED_BY.get(stack[-1][0], ()) or (stack and stack[-1][0] not in BLOCKS and name in BLOCKS and any(n == "p" for n, _, _ in stack)):
+        while stack and name in CLOSED_BY.get(stack[-1][0], ()) or (stack and stack[-1][0] not in BLOCKS and name in BLOCKS and opened["p"]):
             pop()
         around = stack[-1][1] if stack else "body"
         section, left_out = _section(name, match[3] or "") if name in SECTIONS else (around, False)
@@ -106,7 +114,12 @@ def page_runs(page: str):
         own = name in SECTIONS and section.rstrip("!") == name
         block += name in BLOCKS
         if name not in VOID:
-            stack.append((name, section, left_out))
+            stack.append((name, section, left_out, name if name in BLOCKS else stack[-1][3] if stack else "body"))
+            opened[name] += 1
+            if name in SECTIONS:
+                scopes.append(Counter())
+            else:
+                scopes[-1][name] += 1
             content += name in CONTENT
             marked |= name in CONTENT
             out += left_out
@@ -166,24 +179,30 @@ def learned_weights(inside: Counter, outside: Counter) -> RunWeights:
     return RunWeights(weights)
 
 
-def extract(page: str, weights: RunWeights) -> str:
-    """Text of the best run of words and tags, block by block.
+def best_run(gains: list[float]) -> tuple[int, int]:
+    """Range of the contiguous run with the largest sum, the first to reach it; (0, 0) if no gain is positive.
 
-    One scan keeps the best sum that ends here and the best so far; all words of a stretch
-    weigh the same, so it is added at once. Of runs with equal sums the first and longest wins.
-    The run is widened to whole blocks. Of the blocks in it those without a stretch of positive
-    weight (adverts, forms, comments) stay out, the others are kept with all inline stretches.
+    One scan keeps the best sum that ends here and the best so far.
     """
-    runs = page_runs(page)
     best, best_range, here, start = 0.0, (0, 0), 0.0, 0
-    gains = [weights[s] * (w or (1 if s.startswith("<") else 0)) for s, w, _, _, _ in runs]
     for i, gain in enumerate(gains):
         if here <= 0 and gain > 0:
             here, start = 0.0, i
         here += gain
         if here > best:
             best, best_range = here, (start, i + 1)
-    first, last = best_range
+    return best_range
+
+
+def extract(page: str, weights: RunWeights) -> str:
+    """Text of the best run of words and tags, block by block.
+
+    All words of a stretch weigh the same, so it is added at once (``best_run``). The run is widened to whole blocks. Of the blocks in it those without a stretch of positive
+    weight (adverts, forms, comments) stay out, the others are kept with all inline stretches.
+    """
+    runs = page_runs(page)
+    gains = [weights[s] * (w or (1 if s.startswith("<") else 0)) for s, w, _, _, _ in runs]
+    first, last = best_run(gains)
     while 0 < first < last and runs[first - 1][3] == runs[first][3]:
         first -= 1
     while 0 < last < len(runs) and runs[last][3] == runs[last - 1][3]:

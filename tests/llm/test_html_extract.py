@@ -1,8 +1,9 @@
 import html
+import random
 import re
 import time
 
-from convoy.llm.html_extract import RunWeights, extract, fit_weights, main_text
+from convoy.llm.html_extract import RunWeights, best_run, extract, fit_weights, main_text
 
 
 def article(page):
@@ -77,3 +78,31 @@ def test_unclosed_inline_tags():
     start = time.time()
     assert extract("<b>" * 30_000 + "x", RunWeights()) == "x"
     assert time.time() - start < 10
+
+
+def test_stray_tags_take_linear_time():
+    start = time.time()
+    n = 100_000
+    for page in ("<b>x" * n, "<span>" * n + "x</i>" * n, "<b><section>" + "<i>" * n + "x</b>" * n, "<select>x" * n, "<p>" + "<i>x" * n + "<div>y"):
+        extract(page, RunWeights())
+    assert time.time() - start < 30
+
+
+def test_formulas_and_drawings_keep_their_words():
+    assert extract("<p>Let <math><mi>x</mi>=2</math> be a <svg><text>drawn</text></svg> number</p>", RunWeights()) == "Let x=2 be a drawn number"
+
+
+def test_unclosed_quotes_end_with_their_tag():
+    assert extract('<p>one two <a title="bad quote>three</a> four</p>', RunWeights()) == "one two three four"
+    assert extract("<p>one two <a title='bad quote>three</a> four</p>", RunWeights()) == "one two three four"
+    assert extract('<p>one two <a title="1 > 0">three</a> four</p>', RunWeights()) == "one two three four"
+
+
+def test_best_run_against_all_runs():
+    dice = random.Random(5)
+    for _ in range(500):
+        gains = [dice.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(dice.randrange(14))]
+        first, last = best_run(gains)
+        sums = [sum(gains[i:j]) for i in range(len(gains)) for j in range(i, len(gains) + 1)]
+        assert sum(gains[first:last]) == max(sums, default=0.0)
+        assert (first, last) != (0, 0) or max(gains, default=0.0) <= 0
