@@ -67,11 +67,15 @@ def route_geometry(path_nodes: DataFrame, edges: DataFrame, routes: DataFrame) -
 def as_linestring(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points folded to one GeoJSON-shaped row per line, for export of single routes.
 
-    A line becomes one array, as that format asks; longer ones stay with the long table.
+    The points of every block of ``BLOCK`` positions come together first, on many tasks, then the
+    blocks of a line: what meets in one task is sorted blocks of bare coordinates. A line becomes
+    one array, as that format asks; what outgrows a row stays with the long table.
     """
     ordered = F.array_sort(F.collect_list(F.struct("pos", "lon", "lat")))
-    line = F.transform(ordered, lambda p: F.array(p["lon"], p["lat"]))
-    return points.groupBy(*keys).agg(line.alias("_line"), F.count(F.lit(1)).alias("point_count")).select(
+    part = F.transform(ordered, lambda p: F.array(p["lon"], p["lat"])).alias("_part")
+    parts = points.groupBy(*keys, F.floor(F.col("pos") / BLOCK).alias("_block")).agg(part)
+    line = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_part"))), lambda b: b["_part"]))
+    return parts.groupBy(*keys).agg(line.alias("_line"), F.sum(F.size("_part")).alias("point_count")).select(
         *keys,
         F.struct(F.lit("LineString").alias("type"), F.col("_line").alias("coordinates")).alias("geometry"),
         "point_count",
@@ -89,6 +93,13 @@ def route_lengths(points: DataFrame) -> DataFrame:
     )
 
 
+def route_lines(points: DataFrame, routes: DataFrame) -> DataFrame:
+    """One GeoJSON-shaped row per route with its name, length in miles and point count."""
+    named = routes.select("entity_id", "route_name")
+    lengths = route_lengths(points).drop("point_count")
+    return as_linestring(points, ["entity_id"]).join(lengths, "entity_id").join(named, "entity_id")
+
+
 def polyline_downsample(points: DataFrame, every: int) -> DataFrame:
     """Every ``every``-th point of each line and its last one."""
     last = points.groupBy("entity_id").agg(F.max("pos").alias("_last"))

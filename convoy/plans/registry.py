@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from convoy.functions.numeric import sanitize_nonfinite as sanitize
 from convoy.functions.timeslice import epoch_seconds, ntz
 from convoy.operators import features as ft
-from convoy.operators import fleet, graph, routes, scoring, series, state, stops, training
+from convoy.operators import fleet, geometry, graph, routes, scoring, series, state, stops, training
 from convoy.plans import fixtures as fx
 from convoy.plans import parameters as p
 from convoy.schemas import MARKERS, PREDICTIONS
@@ -402,6 +402,26 @@ def route_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return routes.route_lengths(_route_points(spark, sf))
 
 
+@query
+def route_linestring(spark: SparkSession, sf: str) -> DataFrame:
+    """One line per route, its coordinates as text in millionths of a degree."""
+    lines = routes.route_lines(staged(_route_points(spark, sf), "points"), fx.routes(spark, sf))
+    spot = F.transform("geometry.coordinates", lambda c: F.concat_ws(" ", *[F.round(c[i] * 1e6).cast("long").cast("string") for i in (0, 1)]))
+    return lines.select("entity_id", "route_name", "distance_miles", "point_count", F.array_join(spot, ",").alias("line"))
+
+
+@query
+def geometry_parse(spark: SparkSession, sf: str) -> DataFrame:
+    lines = geometry.road_lines(fx.edge_texts(_edges(spark, sf)), fx.nodes(spark, sf))
+    points = lines.select("edge_id", "reject", F.posexplode("line").alias("pos", "_c"))
+    return rounded(points.select("edge_id", "reject", F.col("pos").cast("long").alias("pos"), F.col("_c")[0].alias("lon"), F.col("_c")[1].alias("lat")))
+
+
+@query
+def geometry_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.rejected_lines(fx.edge_texts(_edges(spark, sf))).select("edge_id", "reject", F.col("geometry").isNotNull().alias("has_text"))
+
+
 @query
 def polyline_downsample(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(routes.polyline_downsample(_route_points(spark, sf), p.KEEP_EVERY))
