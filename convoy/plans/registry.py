@@ -15,9 +15,10 @@ from convoy.operators import fleet, geometry, graph, routes, scoring, series, st
 from convoy.plans import fixtures as fx
 from convoy.plans import parameters as p
 from convoy.schemas import MARKERS, PREDICTIONS
-from convoy.settings import CLASS_LABELS, MILES_PER_EPOCH, scratch_path, staged
+from convoy.settings import CLASS_LABELS, MILES_PER_EPOCH, RETENTION_HOURS, scratch_path, staged
 from convoy.sources.csv import read_csv
 from convoy.sources.records import json_records as to_records
+from convoy.sources.store import read_retained
 from convoy.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,6 +664,17 @@ def stream_slice_agg(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{work}/slices"))
 
 
+@query
+def retention_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What the append stream keeps of two runs, the second with late rows."""
+
+    def run(readings: DataFrame, work: str) -> None:
+        jobs.run_retained(readings, f"{work}/kept", f"{work}/checkpoint", RETENTION_HOURS)
+
+    work = _two_runs(spark, sf, "retained", run, late=True)
+    return read_retained(spark, f"{work}/kept", RETENTION_HOURS).drop("event_id", "event_type")
+
+
 @query
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     def run(readings: DataFrame, work: str) -> None:

@@ -64,20 +64,47 @@ def read_since(spark: SparkSession, path: str, since: datetime) -> DataFrame:
     return kept.drop("event_date")
 
 
+def _dates(spark: SparkSession, path: str) -> list[str]:
+    """Dates of the partitions, oldest first, from the names of their folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [e.getPath().getName() for e in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n.split("=")[1] for n in names if n.startswith("event_date=") and not n.endswith("__"))
+
+
+def newest_time(spark: SparkSession, path: str) -> datetime | None:
+    """The newest time of the table: the newest date by name, then one column of that date alone."""
+    for date in reversed(_dates(spark, path)):
+        newest = spark.read.parquet(f"{path}/event_date={date}").agg(F.max("ts")).first()[0]
+        if newest is not None:
+            return newest
+    return None
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Append a numbered batch; the same number again replaces what it wrote before.
+
+    Rows without a time have no place in the table and are left out.
+    """
+    dated = df.filter("ts IS NOT NULL").withColumn("event_date", F.to_date("ts")).withColumn("batch", F.lit(batch))
+    writer = dated.hint("rebalance", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_date", "batch").parquet(path)
+
+
+def read_retained(spark: SparkSession, path: str, hours: int) -> DataFrame:
+    """Rows no older than ``hours`` before the newest one; older dates are pruned. The table must hold a row."""
+    return read_since(spark, path, newest_time(spark, path) - timedelta(hours=hours)).drop("batch")
+
+
 def drop_expired(spark: SparkSession, path: str, hours: int) -> int:
     """Delete the date partitions that lie wholly before the retention bound."""
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("ts")).first()[0]
+    newest = newest_time(spark, path)
     if newest is None:
         return 0
     bound = (newest - timedelta(hours=hours)).date().isoformat()
+    old = [date for date in _dates(spark, path) if date < bound]
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [
-        e.getPath()
-        for e in fs.listStatus(folder)
-        if e.getPath().getName().startswith("event_date=") and e.getPath().getName().split("=")[1] < bound
-    ]
-    for expired in old:
-        fs.delete(expired, True)
+    for date in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"event_date={date}"), True)
     return len(old)

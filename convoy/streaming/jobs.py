@@ -28,6 +28,7 @@ from convoy.operators.features import (
 )
 from convoy.operators.state import latest_upsert, marker_maintenance, prediction_upsert
 from convoy.schemas import MARKERS, PREDICTIONS
+from convoy.sources.store import append_batch, drop_expired
 from convoy.settings import Clock, discard, scratch_path
 from convoy.sources.buckets import BUCKETS, BucketStore
 from convoy.streaming.stats import SLICE_STATS, merge_stats, slice_stats, slices_of
@@ -88,6 +89,20 @@ def _run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], mode
     query.awaitTermination()
 
 
+def run_retained(readings: DataFrame, target: str, checkpoint: str, hours: int, trigger: dict = ONCE) -> None:
+    """Add arriving rows to the date-partitioned table and delete the dates that have expired.
+
+    A replayed batch replaces its own folders. Read it with ``read_retained``; the table has no log
+    of a stream sink, which would go on naming deleted files.
+    """
+
+    def step(batch: DataFrame, version: int) -> None:
+        append_batch(batch, target, version)
+        drop_expired(batch.sparkSession, target, hours)
+
+    _run_batches(readings, step, "append", checkpoint, trigger)
+
+
 def latest_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketStore:
     return BucketStore(spark, path, {"latest": LATEST}, buckets)
 

@@ -10,7 +10,7 @@ from convoy.schemas import FAILURE_CONFIG, MARKERS, SERVICE_CENTERS
 from convoy.settings import scratch_path, shared_dir, staged
 from convoy.sources.csv import load_table, read_csv
 from convoy.sources.records import json_records
-from convoy.sources.store import StateTable, append_telemetry, drop_expired, read_since
+from convoy.sources.store import StateTable, append_batch, append_telemetry, drop_expired, newest_time, read_retained, read_since
 
 SCHEMA = "id BIGINT, name STRING, level DOUBLE, seen TIMESTAMP_NTZ"
 
@@ -109,6 +109,23 @@ def test_telemetry_table_prunes_and_expires_dates(spark, tmp_path, rows):
     assert rows(spark.read.parquet(path), "engine_temp") == [(4.0,), (5.0,), (6.0,)]
 
 
+def test_a_batch_again_replaces_itself_and_old_dates_go(spark, tmp_path, rows):
+    path = str(tmp_path / "retained")
+    assert newest_time(spark, path) is None and drop_expired(spark, path, 48) == 0
+    days = spark.createDataFrame(
+        [("a", datetime(2024, 1, d, 12), float(d)) for d in range(1, 7)] + [("a", None, 9.0)], "entity_id string, ts timestamp_ntz, engine_temp double"
+    )
+    append_batch(days.filter("engine_temp < 5"), path, 0)
+    append_batch(days.filter("engine_temp >= 5"), path, 1)
+    append_batch(days.filter("engine_temp >= 5"), path, 1)  # the same batch again
+    assert newest_time(spark, path) == datetime(2024, 1, 6, 12)
+    kept = read_retained(spark, path, 48)
+    assert kept.columns == days.columns
+    assert rows(kept, "engine_temp") == [(4.0,), (5.0,), (6.0,)]
+    assert drop_expired(spark, path, 48) == 3
+    assert rows(read_retained(spark, path, 48), "engine_temp") == [(4.0,), (5.0,), (6.0,)]
+
+
 def test_staged_rows_come_back_from_a_fresh_folder(spark, rows):
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
