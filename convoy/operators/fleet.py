@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convoy.functions.timeslice import boundaries_crossed, ntz, slice_end
@@ -15,6 +16,9 @@ GREEN_MINUTES, RED_MINUTES = 5, 60
 CHART_FORMAT = "yyyy-MM-dd HH:mm:ss"
 KEY_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
+#: Width of the blocks in which waypoints are looked up by mile.
+BLOCK_MILES = 100.0
+
 
 def recent_rows(telemetry: DataFrame, clock: Clock) -> DataFrame:
     """Rows of the last two steps; the bound is a constant, so the scan prunes on it."""
@@ -173,29 +177,91 @@ def leg_position(extents: DataFrame, markers: DataFrame | None, epoch: int) -> D
     )
 
 
+def _mile_block(miles: Column) -> Column:
+    return F.floor(miles / BLOCK_MILES)
+
+
+def mile_blocks(waypoints: DataFrame) -> DataFrame:
+    """One row per entity and block of miles that holds waypoints.
+
+    ``_low`` and ``_high`` are its first and last mile, ``_after`` the first mile of the next
+    such block, ``route_miles`` the end of the route. Two columns are read and two numbers per
+    block are combined on the map side, so a busy entity is a few rows before it moves.
+    """
+    miles = F.col("miles_from_start")
+    ends = (
+        waypoints.filter(miles.isNotNull())
+        .groupBy("entity_id", _mile_block(miles).alias("_block"))
+        .agg(F.min(miles).alias("_low"), F.max(miles).alias("_high"))
+    )
+    route = W.partitionBy("entity_id")
+    return ends.select(
+        "entity_id",
+        "_low",
+        "_high",
+        F.lag("_low").over(route.orderBy("_block")).isNull().alias("_is_first"),
+        F.lead("_low").over(route.orderBy("_block")).alias("_after"),
+        F.max("_high").over(route).alias("route_miles"),
+    )
+
+
+def _bracketed(blocks: DataFrame) -> DataFrame:
+    """Of blocks with ``target_miles``, the one the target falls behind the start of (else the first).
+
+    Its nearest waypoint is in this block or is the first of the next one, and is no farther
+    than ``_gap``, the least gap among their known ends.
+    """
+    target = F.col("target_miles")
+    here = (F.col("_is_first") | (target >= F.col("_low"))) & (F.col("_after").isNull() | (target < F.col("_after")))
+    gap = F.least(*[F.abs(F.col(c) - target) for c in ("_low", "_high", "_after")])
+    return blocks.filter(here).withColumn("_gap", gap).filter(F.col("_gap").isNotNull())
+
+
+def _waypoint_at(waypoints: DataFrame, bracketed: DataFrame) -> DataFrame:
+    gap = F.abs(F.col("miles_from_start") - F.col("target_miles"))
+    wanted = bracketed.select(
+        "entity_id",
+        "target_miles",
+        "_gap",
+        F.explode(F.array_distinct(F.array_compact(F.array(_mile_block(F.col("_low")), _mile_block(F.col("_after")))))).alias("_block"),
+    )
+    marks = waypoints.select(
+        "entity_id", "miles_from_start", "epoch", "latitude", "longitude", "heading",
+        _mile_block(F.col("miles_from_start")).alias("_block"),
+    )
+    best = F.min(F.struct(gap.alias("_gap"), "epoch", "latitude", "longitude", "heading"))
+    return (
+        marks.join(wanted, ["entity_id", "_block"])
+        .filter(gap <= F.col("_gap"))
+        .groupBy("entity_id")
+        .agg(best.alias("_w"))
+        .select("entity_id", *[f"_w.{c}" for c in ("epoch", "latitude", "longitude", "heading")])
+    )
+
+
 def nearest_mile(waypoints: DataFrame, targets: DataFrame) -> DataFrame:
     """Per entity the waypoint nearest to ``target_miles``; ties go to the lowest epoch.
 
-    Each waypoint meets one target, by a plain join that is left to adaptive execution: it is
-    broadcast if small, and a hot entity's partition is split if not. The least gap is a hash
-    aggregate over two columns; only waypoints at that gap are compared as rows.
+    Blocks of miles are matched first, as an as-of lookup: the block a target falls into and
+    the start of the next one bound its gap. Waypoints then meet targets by entity and block,
+    so the join is broadcast if targets are few, and spreads a hot entity over its blocks if
+    not; only waypoints within the bound are compared as rows.
     """
     wanted = targets.select("entity_id", "target_miles")
-    gap = F.abs(F.col("miles_from_start") - F.col("target_miles"))
-    marks = waypoints.select("entity_id", "miles_from_start")
-    least = marks.join(wanted, "entity_id").groupBy("entity_id").agg(F.min(gap).alias("_gap"))
-    at_least = waypoints.join(wanted.join(least, "entity_id"), "entity_id")
-    best = F.min(F.struct("epoch", "latitude", "longitude", "heading"))
-    return at_least.filter(gap == F.col("_gap")).groupBy("entity_id").agg(best.alias("_w")).select("entity_id", "_w.*")
+    return _waypoint_at(waypoints, _bracketed(mile_blocks(waypoints).join(wanted, "entity_id")))
 
 
 def truck_positions(
     routes: DataFrame, waypoints: DataFrame, markers: DataFrame, predictions: DataFrame, epoch: int
 ) -> DataFrame:
-    """Position, heading, progress and prediction of every truck at ``epoch``."""
+    """Position, heading, progress and prediction of every truck at ``epoch``.
+
+    Waypoints are read twice and joined once: their miles by blocks, which give the length of
+    a route as well as the bracket of a position, and then the rows inside the brackets.
+    """
     described = routes.select("entity_id", "route_name", F.col("start_city").alias("_start"), F.col("end_city").alias("_end"))
-    placed = leg_position(route_extent(waypoints), markers, epoch).join(described, "entity_id")
-    matched = nearest_mile(waypoints, placed)
+    placed = _bracketed(leg_position(mile_blocks(waypoints), markers, epoch)).join(described, "entity_id")
+    matched = _waypoint_at(waypoints, placed)
     stored = predictions.select("entity_id", "predicted_failure_type", "predicted_hours_to_failure")
     returning = F.col("is_return_trip")
     share = F.col("miles_this_leg") / F.nullif("route_miles", F.lit(0.0))

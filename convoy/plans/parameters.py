@@ -34,5 +34,3 @@ PROJECTION_HOURS = 6
 KEEP_EVERY = 5
 STREAM_DELAY_HOURS = 1
 PATH_ROUNDS = 24
-# Drives from nodes below this one have a stored line.
-LINES_BELOW = "N18"

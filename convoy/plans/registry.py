@@ -535,9 +535,8 @@ def detour_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored_lines(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every drive has a stored line, but for those from the last nodes of the alphabet: their
-    lines are the opposite drives turned round."""
-    return staged(graph.path_geometry(paths.filter(F.col("source") < p.LINES_BELOW), edges), "geometry")
+    """The line of every drive; drives without one (unit tests) are drawn by the fallbacks."""
+    return staged(graph.path_geometry(paths, edges), "geometry")
 
 
 @query

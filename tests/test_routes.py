@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from convoy.functions.geo import haversine_miles, map_xy
 from convoy.operators import fleet, routes
-from convoy.operators.nearest import nearest
+from convoy.operators.nearest import LEVELS, nearest
 from convoy.settings import MILES_PER_EPOCH
 
 EDGE = "edge_id bigint, from_node string, to_node string, road_geometry_sampled struct<type:string, coordinates:array<array<double>>>"
@@ -90,7 +90,7 @@ def test_split_measures_on_the_map(spark, rows):
     assert tuple(outside) == (950.0, 10.0)
 
 
-@pytest.mark.parametrize("levels, keyed", [((0.5,), True), ((1.0, 1 / 16), False), ((30.0, 3.0, 0.25), True), ((30.0,), True)])
+@pytest.mark.parametrize("levels, keyed", [((0.5,), True), ((1.0, 1 / 16), False), ((30.0, 3.0, 0.25), True), ((30.0,), True), (LEVELS, False), (LEVELS, True)])
 def test_nearest_equals_brute_force(spark, levels, keyed):
     rnd = random.Random(8)
     points = [(rnd.choice("kl"), i, round(rnd.uniform(25, 49), 2), round(rnd.uniform(-124, -67), 2)) for i in range(150)]
@@ -108,6 +108,20 @@ def test_nearest_equals_brute_force(spark, levels, keyed):
     assert found == expected
 
 
+def test_nearest_without_a_key_lists_no_cells_globally(spark, tmp_path):
+    """Points in all quarters of the plane, queries far from any; no scalar, no one-task exchange."""
+    rnd = random.Random(5)
+    points = [(i, rnd.uniform(-89, 89), rnd.uniform(-179, 179)) for i in range(60)]
+    wanted = [(i, rnd.uniform(-89, 89), rnd.uniform(-179, 179)) for i in range(80)] + [(80, 0.0, 0.0), (81, -16.0, 16.0)]
+    spark.createDataFrame(points, "item int, plat double, plon double").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(wanted, "id int, lat double, lon double").write.parquet(f"{tmp_path}/q")
+    found = nearest(spark.read.parquet(f"{tmp_path}/q"), spark.read.parquet(f"{tmp_path}/p"), [], ["item"])
+    expected = {i: min(((lat - y) ** 2 + (lon - x) ** 2, item) for item, y, x in points)[1] for i, lat, lon in wanted}
+    assert {r.id: r.item for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Subquery" not in plan and "NestedLoop" not in plan
+
+
 def waypoints(spark, marks, entity="e"):
     data = [(entity, i, float(i), float(-i), 350.0, float(m)) for i, m in enumerate(marks)]
     return spark.createDataFrame(data, "entity_id string, epoch bigint, latitude double, longitude double, heading double, miles_from_start double")
@@ -144,6 +158,37 @@ def test_positions_do_not_depend_on_how_the_targets_travel(spark, rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_mile_equals_brute_force(spark, seed):
+    """Blocks with gaps between them, targets inside, between and beyond, repeated miles, null miles."""
+    rnd = random.Random(seed)
+    marks = {f"e{k}": [rnd.choice([rnd.uniform(0, 150), rnd.uniform(900, 1000), float(rnd.randrange(0, 2000, 50)), None]) for _ in range(60)] for k in range(8)}
+    marks["lone"], marks["void"] = [730.0], [None, None]
+    wanted = {e: rnd.choice([rnd.uniform(-50, 2500), float(rnd.randrange(0, 2000, 25)), 100.0]) for e in marks}
+    data = [(e, i, float(i), float(-i), 350.0, m) for e, ms in marks.items() for i, m in enumerate(ms)]
+    table = spark.createDataFrame(data, waypoints(spark, []).schema)
+    targets = spark.createDataFrame(list(wanted.items()), "entity_id string, target_miles double")
+    expected = {}
+    for e, ms in marks.items():
+        known = [(abs(m - wanted[e]), i) for i, m in enumerate(ms) if m is not None]
+        if known:
+            expected[e] = min(known)[1]
+    assert {r.entity_id: r.epoch for r in fleet.nearest_mile(table, targets).collect()} == expected
+
+
+def test_positions_read_waypoints_twice_and_join_them_once(spark, tmp_path):
+    waypoints(spark, range(0, 1000, 10)).write.parquet(f"{tmp_path}/w")
+    route = spark.createDataFrame([("e", "R", "S", "T")], "entity_id string, route_name string, start_city string, end_city string")
+    stored = spark.createDataFrame([], "entity_id string, predicted_failure_type string, predicted_hours_to_failure double")
+    markers = spark.createDataFrame([], "entity_id string, breakdown_epoch bigint")
+    found = fleet.truck_positions(route, spark.read.parquet(f"{tmp_path}/w"), markers, stored, 5000)
+    assert found.count() == 1
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
+    assert "ReadSchema: struct<entity_id:string,miles_from_start:double>" in plan
+
+
 def test_broken_truck_stays_at_its_first_breakdown(spark):
     there = int(25 / MILES_PER_EPOCH)
     found = position(spark, 10**6, broken=[there * 3, there, None])
