@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ LABELLED = 20_000
 BEGINNINGS = range(3, 8)
 #: Normal quantile of the lower bound on a word's toxic share, and how far that is above the share of all rows.
 QUANTILE, LEAST_LIFT = 2.0, 2.0
-#: Words a worker remembers.
-WORDS_KEPT = 200_000
+#: Words a worker remembers, and characters of pieces too long to be usual.
+WORDS_KEPT, LONG_KEPT = 200_000, 1_000_000
 
 # Letters the language model tells apart, and what signs may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -39,13 +40,15 @@ MARGIN, LONE, LONGEST = 6.0, 6.0, 40
 
 _BORDER, _OTHER = len(LETTERS), len(LETTERS) + 1
 SIZE = len(LETTERS) + 2
+_AFTER = ".,;:?!\"')]}…»"
 _ENDING = re.compile(r"([.,;:?!\"')\]}…»]+|([*&%#$=~^_-])\2{2,})+$")
 _START = re.compile(r"^[\"'(\[{«¿]+")
 _DOUBLED = re.compile(r"(.)\1")
 _DRAGGED = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_SHORT = r"[\"'(\[{«¿]*+\S{1,2}(?:[.,;:?!\"')\]}…»*&%#$=~^_-]*+)(?!\S)"
-_SHORT_RUN = re.compile(rf"(?<!\S){_SHORT}(?:\s++{_SHORT}){{2,}}+")
+_SHORT = re.compile(r"[\"'(\[{«¿]*+\S{1,2}(?:[.,;:?!\"')\]}…»*&%#$=~^_-]*+)")
+# Shapes of pieces: another, short, short and a single character, only a single character.
+_SHORT_RUN, _SINGLES = re.compile(rb"[\x01\x02]{3,}"), re.compile(rb"[\x02\x03]{3}")
 
 
 @lru_cache(maxsize=1)
@@ -157,6 +160,24 @@ def restore(piece: str, model: np.ndarray) -> str:
     return _ended(states, model)[1]
 
 
+def without_doubles(word: str, model: np.ndarray) -> str:
+    """What ``restore`` gives for letters with doubles but none three in a row.
+
+    Both paths of a double are in the same state after the next character, so each double is settled
+    by its neighbours.
+    """
+    kept, start, n = [], 0, len(word)
+    for double in _DOUBLED.finditer(word):
+        i = double.start()
+        a = _NUMBER.get(word[i - 1], _OTHER) if i else _BORDER
+        c = _NUMBER.get(word[i], _OTHER)
+        d = _NUMBER.get(word[i + 2], _OTHER) if i + 2 < n else _BORDER
+        if SKIP_DOUBLE + model[a][c][d] < model[a][c][c] + model[c][c][d]:
+            kept.append(word[start : i + 1])
+            start = i + 2
+    return "".join(kept) + word[start:]
+
+
 def joined_words(pieces: list[str], model: np.ndarray) -> list[str]:
     """Words that a run of short pieces may spell when blanks are skipped.
 
@@ -178,72 +199,87 @@ def joined_words(pieces: list[str], model: np.ndarray) -> list[str]:
         window = (min(i, 2), *pieces[max(i - 2, 0) : i + LONGEST + 1])
         if window in known:
             return known[window]
-        states, found = _BEFORE, []
+        found, states = [], {}
+        # Up to the first character with a choice there is one path only.
+        a, b, total, spelt = _BORDER, _BORDER, 0.0, ""
         for j in range(i, min(n, i + LONGEST)):
             for options in parts[j]:
-                states = _step(states, options, model)
-            cost, word = _ended(states, model)
+                letter, price = options[0]
+                if states or len(options) > 1:
+                    states = _step(states or {(a, b): (total, spelt)}, options, model)
+                elif letter:
+                    c = _NUMBER.get(letter, _OTHER)
+                    total, spelt = total + price + model[a][b][c], spelt + letter
+                    a, b = b, c
+                else:
+                    total += price
+            cost, word = _ended(states, model) if states else (total + model[a][b][_BORDER], spelt)
             found.append((cost + SKIP_BLANK * (j - i), word))
+        found[0] = (min(found[0][0], LONE), found[0][1])
         if len(known) >= 1_000:
             known.clear()
         known[window] = found
         return found
 
-    costs = np.full((n, LONGEST), np.inf)
-    upto, rest = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    upto[0] = rest[n] = 0.0
+    upto, rest = [0.0] + [np.inf] * n, [np.inf] * n + [0.0]
     for i in range(n):
-        found = [cost for cost, _ in words_from(i)]
-        found[0] = min(found[0], LONE)
-        costs[i, : len(found)] = found
-        upto[i + 1 : i + 1 + len(found)] = np.minimum(upto[i + 1 : i + 1 + len(found)], upto[i] + found)
+        for j, (cost, _) in enumerate(words_from(i), i + 1):
+            if upto[i] + cost < upto[j]:
+                upto[j] = upto[i] + cost
     for i in range(n - 1, -1, -1):
-        size = min(LONGEST, n - i)
-        rest[i] = (costs[i, :size] + rest[i + 1 : i + 1 + size]).min()
-    out = []
+        rest[i] = min([cost + rest[j] for j, (cost, _) in enumerate(words_from(i), i + 1)])
+    out, most = [], rest[0] + MARGIN
     for i in range(n):
-        size = min(LONGEST, n - i)
-        good = upto[i] + costs[i, :size] + rest[i + 1 : i + 1 + size] <= rest[0] + MARGIN
-        if good[1:].any():
-            out += [word for k, (_, word) in enumerate(words_from(i)) if k and good[k] and word]
+        out += [word for j, (cost, word) in enumerate(words_from(i), i + 1) if j > i + 1 and word and upto[i] + cost + rest[j] <= most]
     return out
 
 
 def _core(piece: str) -> str:
-    return piece.lower() if piece.isalpha() else _START.sub("", _ENDING.sub("", piece.lower()))
+    word = piece.rstrip(_AFTER)
+    return word.lower() if word.isalpha() else _START.sub("", _ENDING.sub("", piece.lower()))
 
 
-def restored_word(piece: str, model: np.ndarray) -> str:
-    """The word of a piece of text without blanks; only odd pieces go through the channel."""
-    core = _core(piece)
+def restored_word(core: str, model: np.ndarray) -> str:
+    """The word of the core of a piece of text without blanks; only odd pieces go through the channel."""
     if core.isalpha():
-        return restore(core, model) if _DOUBLED.search(core) else core
+        if not _DOUBLED.search(core):
+            return core
+        return restore(core, model) if _DRAGGED.search(core) else without_doubles(core, model)
     if not any(c.isalpha() for c in core) and not any(c in LEET for c in core):
         return ""
     return restore(core, model)
 
 
-def double_readings(piece: str) -> list[str]:
+def double_readings(core: str) -> list[str]:
     """A word of letters as written, and without one letter of each double; longer ones have their best path only."""
-    if not _DOUBLED.search(piece.lower()):
-        return []
-    core = _core(piece)
-    if len(core) >= LONGEST or not core.isalpha() or not _DOUBLED.search(core) or _DRAGGED.search(core):
+    if len(core) >= LONGEST or not core.isalpha() or _DRAGGED.search(core):
         return []
-    return [core, *(core[:i] + core[i + 1 :] for i in range(1, len(core)) if core[i] == core[i - 1])]
+    found = [core[: m.end() - 1] + core[m.end() :] for m in _DOUBLED.finditer(core)]
+    return [core, *found] if found else []
+
+
+def _shape(piece: str) -> int:
+    short = _SHORT.fullmatch(piece) is not None
+    return (2 if short else 3) if len(piece) == 1 else int(short)
 
 
 class _Words(dict):
-    """Restored word of a piece; ``doubles`` and ``runs`` have further readings of words with doubles and of short pieces."""
+    """Restored word of a piece.
+
+    ``doubles`` has further readings of words with doubles, ``shapes`` the short pieces and
+    ``runs`` the words that runs of them may spell.
+    """
 
     def __init__(self, model: np.ndarray):
         # Plain lists: single numbers of an array are slow to read.
         self.model = model.tolist()
         self.doubles: dict[str, list[str]] = {}
+        self.shapes: dict[str, int] = {}
         self.runs: dict[str, list[str]] = {}
+        self.long = 0
 
-    def joined(self, run: str) -> list[str]:
-        pieces = [core for core in map(_core, run.split()) if core]
+    def joined(self, run: list[str]) -> list[str]:
+        pieces = [core for core in map(_core, run) if core]
         name = " ".join(pieces)
         if name not in self.runs:
             found = joined_words(pieces, self.model)
@@ -253,28 +289,44 @@ class _Words(dict):
         return self.runs[name]
 
     def __missing__(self, piece: str) -> str:
-        word = restored_word(piece, self.model)
+        core = _core(piece)
+        if core.isalpha() and not _DOUBLED.search(core):
+            word = core
+        else:
+            word = restored_word(core, self.model)
+            if also := double_readings(core):
+                self.doubles[piece] = also
+        if (len(core) < 3 or not core.isalpha()) and (shape := _shape(piece)):
+            self.shapes[piece] = shape
         if len(piece) < 40:
             self[piece] = word
-        if also := double_readings(piece):
-            self.doubles[piece] = also
+        elif piece in self.doubles or piece in self.shapes:
+            self.long += len(piece)
         return word
 
+    def make_room(self) -> None:
+        if max(len(self), len(self.doubles), len(self.shapes)) >= WORDS_KEPT or self.long >= LONG_KEPT:
+            self.clear()
+            self.doubles.clear()
+            self.shapes.clear()
+            self.long = 0
+
 
 def restored_words(text: str, words: _Words) -> set[str]:
     """Distinct restored words of a text; short pieces set apart by blanks are joined, too."""
     # Between texts, so that the readings of this text's pieces are all there.
-    if len(words) >= WORDS_KEPT or len(words.doubles) >= WORDS_KEPT:
-        words.clear()
-        words.doubles.clear()
-    pieces = set(text.split())
+    words.make_room()
+    listed = text.split()
+    pieces = set(listed)
     found = set(map(words.__getitem__, pieces))
     for piece in pieces & words.doubles.keys():
         found.update(words.doubles[piece])
-    for spaced in _SPACED.findall(text):
-        found.add(words["".join(spaced.split())])
-    for run in _SHORT_RUN.findall(text):
-        found.update(words.joined(run))
+    shapes = bytes(map(words.shapes.get, listed, repeat(0)))
+    if _SINGLES.search(shapes):
+        for spaced in _SPACED.findall(text):
+            found.add(words["".join(spaced.split())])
+    for run in _SHORT_RUN.finditer(shapes):
+        found.update(words.joined(listed[run.start() : run.end()]))
     found.discard("")
     return found
 
@@ -291,8 +343,21 @@ class ToxicityModel:
     evidence: dict[str, float]
     weights: np.ndarray
 
+    def __post_init__(self):
+        # Evidence of every counted beginning, and nothing for the beginnings that lead to one.
+        self.starts = {f[1 : k + 1]: 0.0 for f in self.evidence if f[0] == "^" for k in BEGINNINGS}
+        self.starts |= {f[1:]: w for f, w in self.evidence.items() if f[0] == "^"}
+
     def weight(self, word: str) -> float:
-        return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
+        """The most evidence of a word or one of its beginnings."""
+        best = self.evidence.get("=" + word, 0.0)
+        for k in BEGINNINGS:
+            here = self.starts.get(word[:k]) if k < len(word) else None
+            if here is None:
+                break
+            if here > best:
+                best = here
+        return best
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
@@ -401,16 +466,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
         import pyarrow as pa
 
         words = _Words(model.value.letters)
-        weights: dict[str, float] = {}
+        nothing: set[str] = set()
         for ids, batch in chunks(batches):
             found = []
             for text in batch:
                 here = restored_words(text, words)
-                if len(weights) > WORDS_KEPT:
-                    weights.clear()
-                for word in here.difference(weights):
-                    weights[word] = model.value.weight(word)
-                found.append(summary([weights[word] for word in here], len(here)))
+                if len(nothing) > WORDS_KEPT:
+                    nothing.clear()
+                weights = {word: model.value.weight(word) for word in here - nothing}
+                nothing.update(word for word, weight in weights.items() if not weight)
+                found.append(summary(list(weights.values()), len(here)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(model.value.scores(np.array(found)))], names=["doc_id", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -1,9 +1,11 @@
 import random
 import time
+from itertools import product
 
 import numpy as np
 import pytest
 
+from convoy.llm import toxicity
 from convoy.llm.common import texts
 from convoy.llm.toxicity import SIZE, _Words, language_model, letter_trigrams, restored_words, toxicity_scores
 
@@ -69,6 +71,60 @@ def test_doubled_letters(tables):
     assert {"letters", "walks"} <= restored_words("Letters walks", words)
 
 
+def test_letters_take_no_lattice_step(tables, monkeypatch):
+    words, steps = _Words(language_model(texts(tables[0]))), []
+    step = toxicity._step
+    monkeypatch.setattr(toxicity, "_step", lambda *a: steps.append(a) or step(*a))
+    restored_words("Letters wallks blloornakk, éèé ππφφ! to be or not, I a y", words)
+    assert not steps
+    restored_words("gr1mpus wallllks", words)
+    assert steps
+
+
+def test_best_reading_of_all(tables):
+    model = language_model(texts(tables[0]))
+    words, rng = _Words(model), random.Random(7)
+
+    def cost(reading):
+        a, b, total = SIZE - 2, SIZE - 2, 0.0
+        for letter in reading:
+            c = toxicity._NUMBER.get(letter, SIZE - 1)
+            a, b, total = b, c, total + model[a, b, c]
+        return total + model[a, b, SIZE - 2]
+
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 7))) for signs in ("abelosté", "aelllossπφ", "aell01@-*") for _ in range(300)]
+    for piece in ["letters", "bookkeeper", "aab", "baa", "éé", "ππφφ", *odd]:
+        readings = product(*toxicity._readings(piece))
+        best = min((sum(price for _, price in r) + cost("".join(x for x, _ in r)), "".join(x for x, _ in r)) for r in readings)
+        assert toxicity.restore(piece, words.model) == best[1]
+        if piece.isalpha():
+            assert words[piece] == best[1], piece
+
+
+def test_runs_of_short_pieces_are_found_whatever_the_blanks(tables):
+    words, rng = _Words(language_model(texts(tables[0]))), random.Random(8)
+    seen = []
+    words.joined = lambda run: seen.append(" ".join(run)) or []
+    long = ["letters", "walks,", "a-b-c", "(the", "x" * 50]
+    short = ["a", "to", "I,", "(x", "ab!!!", "@", "é", "y" + "!" * 50]
+    for _ in range(300):
+        listed = [rng.choice(short if rng.random() < 0.6 else long) for _ in range(rng.randint(0, 20))]
+        seen.clear()
+        restored_words("".join(piece + rng.choice([" ", "  ", "\n", "\t \xa0"]) for piece in listed), words)
+        marks = "".join("s" if piece in short else " " for piece in listed)
+        assert [len(run.split()) for run in seen] == [len(run) for run in marks.split() if len(run) > 2]
+
+
+def test_weight_is_that_of_the_best_feature():
+    rng = random.Random(9)
+    spell = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    for _ in range(50):
+        evidence = {f"={spell(rng.randint(1, 9))}": rng.random() for _ in range(5)} | {f"^{spell(rng.choice(toxicity.BEGINNINGS))}": rng.random() for _ in range(8)}
+        model = toxicity.ToxicityModel(np.zeros(1), evidence, toxicity.PRIOR)
+        for word in (spell(rng.randint(0, 10)) for _ in range(100)):
+            assert model.weight(word) == max((evidence.get(f, 0.0) for f in toxicity.features(word)), default=0.0)
+
+
 def test_long_runs_of_short_pieces(tables):
     words = _Words(language_model(texts(tables[0])))
     start = time.time()
